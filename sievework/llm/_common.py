@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: session set-up, lineage cuts, hashed words."""
+"""What the operators of this subpackage share: session set-up and hashed words."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..operators.graph import components, cut  # noqa: F401
 
 _SHIPPED: set[str] = set()
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -34,23 +36,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
-
-    The folder is ``spark.checkpoint.dir``, which the cluster shares; only where
-    neither it nor a checkpoint folder is set (tests) a temporary one is taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-checkpoint-"))
-    return df.checkpoint()
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # -- hashed words -----------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -8,12 +8,13 @@ document picks the l with the least estimated cost, from the sketched lengths of
 the posting lists: postings read, and candidates to verify. Two documents are
 compared under the smaller l of the two.
 
-Equal sets are one class. First every class is verified against one pivot of each
+Equal sets are one class. First every class is verified against two pivots of each
 posting list; the links found give components. A list whose classes are all in
 one component is done, so a large group of near copies costs as much as it has
-members. In the others, only pairs across components are left; they are counted,
-filtered by l and verified. All links between components are found this way,
-without ever forming all pairs inside one.
+members. In the others, only pairs across components are left. Their sizes give
+the exact overlap that the two need, and so the shorter prefixes in which they must
+share l shingles; pairs that do are verified. All links between components are
+found this way, without ever forming all pairs inside one.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, as_bytes, cut, ready, shingles, word_hashes
-from .components import components
+from ._common import SPACES, as_bytes, components, cut, ready, shingles, word_hashes
 
 #: Counters of the sketch, whose size doesn't depend on the data: 4 MB on each side.
 SKETCH_BITS = 20
 _CHUNK = 1 << 14
 MAX_MATCHES = 4
 _VERIFY_COST = 16.0
+#: Up to so many keys of documents to verify are broadcast: 32 MB.
+BROADCAST_KEYS = 2_000_000
 
 
 def shingle_set(data: bytes, n: int) -> np.ndarray:
@@ -181,7 +183,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, per
     fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
     pairs = cut(sized.where(fit).select("a", "b"))
     asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    keys = classes.join(asked, "cid", "left_semi").select("key")
+    keys = cut(classes.join(asked, "cid", "left_semi").select("key"))
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)  # so the texts aren't shuffled; beyond that size they are
     sets = cut(_sets(rows.join(keys, "key", "left_semi"), n))
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
@@ -192,28 +196,47 @@ def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _overlap(a: str, b: str, percent: int) -> str:
+    """SQL for the least overlap with which sets of a and b shingles reach the threshold, rounded up."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
+
+def _postings(found: DataFrame, percent: int) -> DataFrame:
+    """(token, cid, pos, size, level, role): a row for each place in a class's prefix.
+
+    Of two sets the larger one probes and the smaller one is the index, as the
+    least overlap with a set as large or larger leaves the index a shorter prefix.
+    ``role`` is 1 for places that the class has as an index too.
+    """
+    each = found.where("level > 0").select("cid", "size", "level", F.posexplode("tokens").alias("pos", "token"))
+    return each.selectExpr("token", "cid", "pos", "cast(size as int) as size", "level", f"pos < size - {_overlap('size', 'size', percent)} + level as role")
+
+
 def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
-    need = -F.floor(-(F.col("size") * percent) / 100)
-    place = F.greatest(F.col("pos") + 1 - (F.col("size") - need), F.lit(1))
-    postings = found.where("level > 0").select("cid", "size", "level", F.posexplode("tokens").alias("pos", "token"))
-    # at: the first l whose prefix holds the token; level: the class's l.
-    postings = postings.select("token", "cid", (place * 16 + F.col("level")).cast("int").alias("tag"))
-    lists = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
+    postings = _postings(found, percent)
+    index = F.when(F.col("role"), F.col("cid"))
+    lists = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.min(index).alias("first"), F.max(index).alias("last"))
+    lists = lists.where("low <> high and first is not null").select("token", "first", "last")
     shared = cut(postings.join(cut(lists), "token").distinct())
-    tried = cut(shared.where("cid <> low").select(*_ordered(F.col("cid"), F.col("low"))).union(shared.where("cid <> high").select(*_ordered(F.col("cid"), F.col("high")))).distinct())
+    pivots = [shared.where(F.col("cid") != F.col(p)).select(*_ordered(F.col("cid"), F.col(p))) for p in ("first", "last")]
+    tried = cut(pivots[0].union(pivots[1]).distinct())
     links = _verified(tried, rows, classes, n, percent)
 
     label = cut(components(links).toDF("cid", "label"))
     named = shared.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = named.join(label.toDF("low", "first"), "low", "left").withColumn("first", F.coalesce("first", "low"))
-    named = cut(named.select("token", "cid", "label", "first", F.floor(F.col("tag") / 16).alias("at"), (F.col("tag") % 16).alias("level")))
-    stray = named.where("label <> first").select("token", F.col("cid").alias("s_cid"), F.col("label").alias("s_label"), F.col("at").alias("s_at"), F.col("level").alias("s_level"))
-    level = F.least("level", "s_level")
-    across = (F.col("label") != F.col("s_label")) & ((F.col("label") == F.col("first")) | (F.col("s_cid") < F.col("cid")))
-    met = stray.join(named, "token").where(across & (F.col("at") <= level) & (F.col("s_at") <= level))
-    counted = met.groupBy(*_ordered(F.col("cid"), F.col("s_cid"))).agg(F.count("*").alias("n"), F.min(level).alias("level"))
-    left = cut(counted.where("n >= level").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    named = named.join(label.toDF("first", "home"), "first", "left").withColumn("home", F.coalesce("home", "first"))
+    named = cut(named.select("token", "cid", "pos", "size", "level", "role", "label", (F.col("label") == F.col("home")).alias("is_home")))
+    # A pair across components has a member that isn't in the component of the list's pivot.
+    smaller = named.where("role").select("token", *[F.col(c).alias(f"i_{c}") for c in ("cid", "pos", "size", "level", "label", "is_home")])
+    level, need = "least(level, i_level)", _overlap("size", "i_size", percent)
+    across = F.expr(
+        f"label <> i_label and (size > i_size or size = i_size and cid > i_cid) and 100 * i_size >= {percent} * size"
+        f" and pos < size - {need} + {level} and i_pos < i_size - {need} + {level}"
+    )
+    met = named.where("not is_home").join(smaller, "token").where(across).union(named.where("is_home").join(smaller.where("not i_is_home"), "token").where(across))
+    counted = met.groupBy("cid", "i_cid").agg(F.count("*").alias("n"), F.min(F.expr(level)).alias("level"))
+    left = cut(counted.where("n >= level").select(*_ordered(F.col("cid"), F.col("i_cid"))).join(tried, ["a", "b"], "left_anti"))
     if left.isEmpty():
         return links
     return links.union(_verified(left, rows, classes, n, percent))
