@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import curation, parsing, relational
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**curation.QUERIES, **relational.QUERIES, **parsing.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**curation.SQL, **relational.SQL, **parsing.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Curation in one plan: a funnel, exact duplicates by normal form, and scripts of what is left."""
+    return curation.curated(spark, sf_dir)
