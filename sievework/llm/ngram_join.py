@@ -19,6 +19,8 @@ found this way, without ever forming all pairs inside one.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 
 from ._common import SPACES, as_bytes, components, cut, ready, shingles, word_hashes
 
-#: Counters of the sketch, whose size doesn't depend on the data: 4 MB on each side.
-SKETCH_BITS = 20
-_CHUNK = 1 << 14
+#: Counters of the sketch, whose size doesn't depend on the data: 16 MB on each side.
+SKETCH_BITS = 22
+_CHUNK = 1 << 16
 MAX_MATCHES = 4
 _VERIFY_COST = 16.0
+#: Lists with more rows get a second round of pivots.
+LONG_LIST = 8
 #: Up to so many keys of documents to verify are broadcast: 32 MB.
 BROADCAST_KEYS = 2_000_000
 
@@ -60,23 +64,26 @@ def sketch(df: DataFrame, n: int) -> np.ndarray:
                 else:
                     np.add.at(total, s, 1)
         if total.any():
-            parts = [total[i * _CHUNK : (i + 1) * _CHUNK] for i in range(chunks)]
-            small = [p.astype("<u4") if p.max() < 1 << 32 else p for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([p.tobytes() for p in small], pa.binary())], names=["chunk", "counts"])
+            yield packed({i: total[i * _CHUNK : (i + 1) * _CHUNK] for i in range(chunks)})
+
+    def packed(sums):
+        # Most counts of a partition are 0 or 1, so they pack well.
+        raw = [zlib.compress(np.minimum(part, (1 << 32) - 1).astype("<u4").tobytes(), 1) for part in sums.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], names=["chunk", "counts"])
 
     def add(batches):
         sums = {}
         for batch in batches:
             for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, dtype="<u4" if len(raw) == 4 * _CHUNK else "<i8").astype(np.int64)
+                part = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64)
                 sums[c] = sums[c] + part if c in sums else part
         for c, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(part, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield packed({c: part})
 
     schema = "chunk int, counts binary"
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for r in df.mapInArrow(count, schema).repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], dtype="<u4")
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u4")
     return out
 
 
@@ -212,31 +219,52 @@ def _postings(found: DataFrame, percent: int) -> DataFrame:
     return each.selectExpr("token", "cid", "pos", "cast(size as int) as size", "level", f"pos < size - {_overlap('size', 'size', percent)} + level as role")
 
 
+def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """``shared`` with each class's component and whether that is the component of the list's pivot."""
+    label = cut(components(links).toDF("cid", "label"))
+    named = shared.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = named.join(label.toDF("first", "home"), "first", "left").withColumn("home", F.coalesce("home", "first"))
+    return cut(named.withColumn("is_home", F.col("label") == F.col("home")).drop("home"))
+
+
 def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
     postings = _postings(found, percent)
     index = F.when(F.col("role"), F.col("cid"))
-    lists = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.min(index).alias("first"), F.max(index).alias("last"))
-    lists = lists.where("low <> high and first is not null").select("token", "first", "last")
+    lists = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n_rows"))
+    lists = lists.where("low <> high and first is not null").select("token", "first", "last", "n_rows")
     shared = cut(postings.join(cut(lists), "token").distinct())
-    pivots = [shared.where(F.col("cid") != F.col(p)).select(*_ordered(F.col("cid"), F.col(p))) for p in ("first", "last")]
+
+    # At first each class meets the least and the greatest pivot of its lists.
+    ends = shared.groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    pivots = [ends.where(F.col("cid") != F.col(p)).select(*_ordered(F.col("cid"), F.col(p))) for p in ("first", "last")]
     tried = cut(pivots[0].union(pivots[1]).distinct())
     links = _verified(tried, rows, classes, n, percent)
-
-    label = cut(components(links).toDF("cid", "label"))
-    named = shared.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = named.join(label.toDF("first", "home"), "first", "left").withColumn("home", F.coalesce("home", "first"))
-    named = cut(named.select("token", "cid", "pos", "size", "level", "role", "label", (F.col("label") == F.col("home")).alias("is_home")))
-    # A pair across components has a member that isn't in the component of the list's pivot.
-    smaller = named.where("role").select("token", *[F.col(c).alias(f"i_{c}") for c in ("cid", "pos", "size", "level", "label", "is_home")])
+    named = _labelled(shared.drop("last"), links)
+
+    # In long lists, those who aren't in their pivot's component meet it themselves.
+    strays = named.where(f"not is_home and n_rows > {LONG_LIST}").select(*_ordered(F.col("cid"), F.col("first"))).distinct()
+    strays = cut(strays.join(tried, ["a", "b"], "left_anti"))
+    if not strays.isEmpty():
+        tried = tried.union(strays)
+        links = cut(links.union(_verified(strays, rows, classes, n, percent)))
+        named = _labelled(shared.drop("last"), links)
+
+    # A pair across components has a member that isn't in the component of the list's pivot. It
+    # is made once, at the first shingle that its prefixes share, if they share l in all.
+    places = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("places"))
+    held = named.join(cut(places), "cid").withColumn("before", F.transform(F.filter("places", lambda p: p["pos"] < F.col("pos")), lambda p: p["token"]))
+    larger = cut(held.select("token", "cid", "pos", "size", "level", "role", "label", "is_home", "places", "before"))
+    smaller = larger.where("role").select("token", *[F.col(c).alias(f"i_{c}") for c in ("cid", "pos", "size", "level", "label", "is_home", "places", "before")])
     level, need = "least(level, i_level)", _overlap("size", "i_size", percent)
+    prefix = lambda p, size: f"transform(filter({p}, p -> p.pos < {size} - {need} + {level}), p -> p.token)"
     across = F.expr(
         f"label <> i_label and (size > i_size or size = i_size and cid > i_cid) and 100 * i_size >= {percent} * size"
-        f" and pos < size - {need} + {level} and i_pos < i_size - {need} + {level}"
+        f" and pos < size - {need} + {level} and i_pos < i_size - {need} + {level} and not arrays_overlap(before, i_before)"
+        f" and size(array_intersect({prefix('places', 'size')}, {prefix('i_places', 'i_size')})) >= {level}"
     )
-    met = named.where("not is_home").join(smaller, "token").where(across).union(named.where("is_home").join(smaller.where("not i_is_home"), "token").where(across))
-    counted = met.groupBy("cid", "i_cid").agg(F.count("*").alias("n"), F.min(F.expr(level)).alias("level"))
-    left = cut(counted.where("n >= level").select(*_ordered(F.col("cid"), F.col("i_cid"))).join(tried, ["a", "b"], "left_anti"))
+    met = larger.where("not is_home").join(smaller, "token").where(across).union(larger.where("is_home").join(smaller.where("not i_is_home"), "token").where(across))
+    left = cut(met.select(*_ordered(F.col("cid"), F.col("i_cid"))).distinct().join(tried, ["a", "b"], "left_anti"))
     if left.isEmpty():
         return links
     return links.union(_verified(left, rows, classes, n, percent))
