@@ -11,14 +11,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NON_WORD, ready, word_hashes
+from ._common import NON_WORD, mix, ready, word_hashes
 
-_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
 _CEILING = 0.999
+_BITS = 16
+_PREFIXES = (4, 5, 6)
+_draw = np.random.default_rng(20240711)
+_LETTER = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_PLACE = _draw.integers(1, 1 << 63, _PREFIXES[-1], dtype=np.uint64) | np.uint64(1)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -26,35 +30,56 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Where the sentences start and end."""
-    out, at = [], 0
-    for m in _SENTENCE.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    return out + [(at, len(text))] if at < len(text) else out
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[0x21, 0x2E, 0x3F]] = True
 
 
-def bags(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a text and the number of the sentence that each is in; a word counts once a sentence."""
-    data = text.lower().encode()
-    words, starts, _ = word_hashes(data, NON_WORD, spans=True)
+def split_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, sentence, start, end) of each word of a text in UTF-8.
+
+    A sentence ends at a line feed and at white space after a full stop, question or
+    exclamation mark. Only sentences with words are numbered, from 0.
+    """
+    words, starts, ends = word_hashes(data, NON_WORD, spans=True)
+    if not len(words):
+        return words, starts, starts, ends
     raw = np.frombuffer(data, dtype=np.uint8)
-    border = np.zeros(len(raw) + 1, dtype=np.int64)
-    blank = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
-    stop = (raw == 0x2E) | (raw == 0x21) | (raw == 0x3F)
-    border[1:] = raw == 0x0A
-    border[1:][1:] |= blank[1:] & stop[:-1]
-    which = np.cumsum(border)[starts]
-    if len(which):
-        which = np.cumsum(np.diff(which, prepend=which[0]) > 0)
-        first = np.lexsort((words, which))
-        words, which = words[first], which[first]
-        keep = np.ones(len(words), dtype=bool)
-        keep[1:] = (words[1:] != words[:-1]) | (which[1:] != which[:-1])
-        words, which = words[keep], which[keep]
-    return words, which
+    border = raw == 0x0A
+    border[1:] |= _BLANK[raw[1:]] & _STOP[raw[:-1]]
+    at = np.searchsorted(np.flatnonzero(border), starts)
+    which = np.cumsum(np.diff(at, prepend=at[0]) > 0)
+    return words, which, starts, ends
+
+
+def features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, sentence) pairs, and (start, end) of the words; a word's features are itself and its first 4, 5 and 6 bytes.
+
+    Inflected and compounded words share their beginnings, so one seen form speaks for others.
+    """
+    words, which, starts, ends = split_words(data)
+    if not len(words):
+        return words, which, starts, ends
+    raw = np.frombuffer(data, dtype=np.uint8)
+    size = ends - starts
+    letters = _LETTER[raw[np.minimum(starts[:, None] + np.arange(_PREFIXES[-1]), len(raw) - 1)]] * _PLACE
+    sums = np.cumsum(letters, axis=1)
+    found, of = [words], [which]
+    for k in _PREFIXES:
+        long = np.flatnonzero(size > k)
+        found.append(mix(sums[long, k - 1] + np.uint64(k)))
+        of.append(which[long])
+    return np.concatenate(found), np.concatenate(of), starts, ends
+
+
+def once_a_sentence(words: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word of a sentence once."""
+    first = np.lexsort((words, which))
+    words, which = words[first], which[first]
+    keep = np.ones(len(words), dtype=bool)
+    keep[1:] = (words[1:] != words[:-1]) | (which[1:] != which[:-1])
+    return words[keep], which[keep]
 
 
 @dataclass
@@ -65,59 +90,86 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self.maybe = np.zeros(1 << _BITS, dtype=bool)
+        self.maybe[(self.words >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+
     def sentence_scores(self, words: np.ndarray, which: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return np.empty(0)
-        z = np.full(int(which[-1]) + 1, self.bias)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            hit = self.words[at] == words
-            np.add.at(z, which[hit], self.weights[at[hit]])
+        z = np.full(int(which.max(initial=-1)) + 1, self.bias)
+        at, of = self.hits(words, which)
+        np.add.at(z, of, self.weights[at])
         return _CEILING / (1 + np.exp(-z))
 
-    def score(self, text: str) -> float:
-        """0 for a text without words."""
-        p = self.sentence_scores(*bags(text))
-        return float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
-
-    def offending(self, text: str, at_least: float) -> list[tuple[int, int, float]]:
-        """(start, end, score) of sentences that score so much, in code points."""
-        out = []
-        for s, e in sentences(text):
-            if (p := self.score(text[s:e])) >= at_least:
-                out.append((s, e, p))
-        return out
-
-
-def fit(texts: list[str], labels: np.ndarray, min_docs: int = 3, rounds: int = 300, rate: float = 0.3, decay: float = 2e-4) -> ToxicityModel:
+    def hits(self, words: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the model, sentence) of the features that the model has, each once a sentence."""
+        close = np.flatnonzero(self.maybe[(words >> np.uint64(64 - _BITS)).astype(np.int64)])
+        if not len(close):
+            return close, close
+        words, which = once_a_sentence(words[close], which[close])
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        hit = self.words[at] == words
+        return at[hit], which[hit]
+
+    def judge(self, text: str, at_least: float) -> tuple[float, list[tuple[int, int, float]]]:
+        """(score, [(start, end, score) of each sentence that scores so much]) in code points, from its first word to its last.
+
+        The score is 0 for a text without words.
+        """
+        data = text.encode()
+        words, which, starts, ends = features(data)
+        p = self.sentence_scores(words, which)
+        which = which[: len(starts)]
+        score = float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
+        found = []
+        for i in np.flatnonzero(p >= at_least):
+            low, high = np.searchsorted(which, [i, i + 1])
+            s, e = int(starts[low]), int(ends[high - 1])
+            begin = len(data[:s].decode())
+            found.append((begin, begin + len(data[s:e].decode()), float(p[i])))
+        return score, found
+
+
+def _telling(texts: list[str], labels: np.ndarray, min_docs: int, least_z: float, most: int) -> np.ndarray:
+    """Features that toxic texts hold more often than others by so many standard deviations, the strongest ``most``, sorted."""
+    seen = {0: [np.empty(0, np.uint64)], 1: [np.empty(0, np.uint64)]}
+    for text, y in zip(texts, labels, strict=True):
+        seen[int(y)].append(np.unique(features(text.encode())[0]))
+    kinds, n1 = np.unique(np.concatenate(seen[1]), return_counts=True)
+    others, n0 = np.unique(np.concatenate(seen[0]), return_counts=True)
+    in_others = np.zeros(len(kinds))
+    if len(others):
+        at = np.minimum(np.searchsorted(others, kinds), len(others) - 1)
+        in_others = np.where(others[at] == kinds, n0[at], 0)
+    of1, of0 = (labels == 1).sum(), (labels == 0).sum()
+    z = (n1 / of1 - in_others / of0) / np.sqrt(n1 / of1**2 + (in_others + 1) / of0**2)
+    strong = np.flatnonzero((n1 >= min_docs) & (z >= least_z))
+    return np.sort(kinds[strong[np.lexsort((kinds[strong], -z[strong]))][:most]])
+
+
+def fit(texts: list[str], labels: np.ndarray, min_docs: int = 5, least_z: float = 5.0, most: int = 5000, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> ToxicityModel:
     """Gradient ascent on the documents' log likelihood through the noisy-or, with Adam's step sizes and L2 decay.
 
-    Words in fewer than ``min_docs`` texts are left out. Without texts or with one
-    label only, the model scores every sentence by its bias.
+    Only features that tell are fitted (``min_docs``, ``least_z``, ``most``). Without
+    texts or with one label only, the model scores every sentence by its bias.
     """
-    docs, sents, feats, n_sent = [], [], [], 0
+    if not len(labels) or labels.min() == labels.max():
+        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), -8.0)
+    kinds = _telling(texts, labels, min_docs, least_z, most)
+    probe = ToxicityModel(kinds, np.zeros(len(kinds)), 0.0)
+    docs, sents, index, n_sent = [], [], [np.empty(0, np.int64)], 0
     for d, text in enumerate(texts):
-        words, which = bags(text)
-        if len(words):
-            feats.append(words)
-            sents.append(which + n_sent)
-            docs += [d] * (int(which[-1]) + 1)
-            n_sent += int(which[-1]) + 1
-    empty = ToxicityModel(np.empty(0, np.uint64), np.empty(0), -8.0)
-    if not feats or labels.min() == labels.max():
-        return empty
-    words, sent, doc = np.concatenate(feats), np.concatenate(sents), np.array(docs)
-    kinds, index = np.unique(words, return_inverse=True)
-    pairs = np.unique(np.stack([index, doc[sent]], axis=1), axis=0)
-    kept = np.flatnonzero(np.bincount(pairs[:, 0], minlength=len(kinds)) >= min_docs)
-    place = np.full(len(kinds), -1)
-    place[kept] = np.arange(len(kept))
-    mask = place[index] >= 0
-    index, sent = place[index[mask]], sent[mask]
+        found, which, _, _ = features(text.encode())
+        if len(found):
+            at, of = probe.hits(found, which)
+            index.append(at)
+            sents.append(of + n_sent)
+            docs += [d] * (int(which.max()) + 1)
+            n_sent += int(which.max()) + 1
+    index, sent, doc = np.concatenate(index), np.concatenate([np.empty(0, np.int64), *sents]), np.array(docs, dtype=np.int64)
     y = labels[doc]
-    weight = np.where(y == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    params, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    params[-1] = -5.0
+    weight = np.where(y == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
+    params = np.append(np.zeros(len(kinds)), -6.0)
+    m, v = np.zeros(len(params)), np.zeros(len(params))
     for step in range(1, rounds + 1):
         z = params[-1] + np.bincount(sent, weights=params[index], minlength=n_sent)
         q = 1 / (1 + np.exp(-z))
@@ -126,14 +178,14 @@ def fit(texts: list[str], labels: np.ndarray, min_docs: int = 3, rounds: int = 3
         some = np.maximum(-np.expm1(log_none), 1e-9)
         # d log P(label) / d p is 1 / (1-p) times -1 for label 0, times (1-P)/P for label 1.
         slope = np.where(y == 1, np.exp(log_none) / some, -1.0) / (1 - p) * p * (1 - q) * weight
-        grad = np.append(np.bincount(index, weights=slope[sent], minlength=len(kept)), slope.sum()) / len(labels)
+        grad = np.append(np.bincount(index, weights=slope[sent], minlength=len(kinds)), slope.sum())
         grad[:-1] -= decay * params[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         params += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return ToxicityModel(kinds[kept], params[:-1], float(params[-1]))
+    return ToxicityModel(kinds, params[:-1], float(params[-1]))
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame, rows: int = 6000, chars: int = 20_000_000) -> ToxicityModel:
+def train_toxicity(documents: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 15_000_000) -> ToxicityModel:
     """A model from labelled rows that aren't held out.
 
     At most ``rows`` labelled ids are used, those whose hash comes first, a third of
@@ -178,10 +230,11 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
         model = sent.value
         for batch in batches:
             texts = [x or "" for x in batch.column(where).to_pylist()]
-            scores = [model.score(x) for x in texts]
+            judged = [model.judge(x, at_least if spans else 2.0) for x in texts]
+            scores = [j[0] for j in judged]
             columns, names = [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score]
             if spans:
-                found = [[{"start": s, "end": e, "score": p} for s, e, p in model.offending(x, at_least)] if y >= at_least else [] for x, y in zip(texts, scores, strict=True)]
+                found = [[{"start": s, "end": e, "score": p} for s, e, p in j[1]] for j in judged]
                 columns, names = [*columns, pa.array(found, pa.list_(item))], [*names, spans]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
