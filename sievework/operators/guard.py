@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, values
 from ..functions.records import UNKNOWN_PERIOD, check_record
+from ..session import ready
+from .graph import cut
 from .joins import content_union, keep_if_any
 from .retrieval import resolved_keys, retrieved
 from .verification import Labels
@@ -141,16 +144,16 @@ def guarded_text(text: str | None, crop: str | None, pest: str | None, n_rows: i
 
 def guard(responses: DataFrame, labels: Labels, row_id: str = "item_id", response: str = "raw_response", query: str = "query_text") -> DataFrame:
     """Each response with ``guarded``, ``actions``, ``guardable``, ``changed`` and the key resolved from its question."""
-    import pandas as pd
-
-    keys = resolved_keys(responses, row_id, query, labels.synonyms)
-    rows = reference_rows(keys, row_id, labels)
+    keys = cut(resolved_keys(responses, row_id, query, labels.synonyms, views=labels.views))
+    rows = cut(reference_rows(keys, row_id, labels))
     shape = "struct<chemical_options:array<struct<active_ingredient:string,dose:struct<basis:string,value_min:double,value_max:double,unit:string>,phi_days:int>>>"
     said = responses.select(row_id, F.posexplode(F.from_json(response, shape)["chemical_options"]).alias("position", "option")).join(keys.select(row_id, "method"), row_id)
     judged = judged_options(said, rows, row_id).groupBy(row_id).agg(F.to_json(F.collect_list(F.struct("position", "registered", "verdict"))).alias("_verdicts"))
     n_rows = rows.groupBy(row_id).agg(F.count("*").alias("_n_rows"))
     met = responses.join(keys, row_id).join(judged, row_id, "left").join(n_rows, row_id, "left")
 
+    ready(responses.sparkSession)
+
     @F.pandas_udf("struct<guarded:string,actions:array<string>,guardable:boolean,changed:boolean>")
     def run(texts: pd.Series, crops: pd.Series, pests: pd.Series, n: pd.Series, verdicts: pd.Series) -> pd.DataFrame:
         out = []

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, domain, names
 from ..functions.text import has_term, normalized
+from ..session import ready
 from .joins import keep_if_any, longest_term, term_matches
-from .verification import Labels, matched_pests
+from .verification import Labels, matched_pests, synonym_views
 from .windows import capped
 
 #: The greatest number of rows shown, and the lines of the fact sheet.
@@ -24,19 +26,20 @@ MISS_LINES = {
 SHEET_FIELDS = ("ai", "dose_basis", "dose_min", "dose_max", "dose_unit", "dose_per_acre_min", "dose_per_acre_max", "dose_raw", "phi_days", "phi_not_applicable", "phi_raw", "application_method", "biological")
 
 
-def pest_tags(df: DataFrame, row_id: str, text: str, synonyms: DataFrame) -> DataFrame:
+def pest_tags(df: DataFrame, row_id: str, text: str, synonyms: DataFrame, views: list | None = None) -> DataFrame:
     """(row_id, canonical, pest_string, reason) for each row (row_id, crop_slug, text).
 
     A known name of the crop, the longest first; then a local term; then the first
     noun that stands for a pest, with its modifier. ``reason`` says why none is found.
     """
     rows = df.select(row_id, "crop_slug", F.col(text).alias("_text"))
-    terms = matched_pests(synonyms.select("crop_slug", "surface_form").distinct(), "surface_form", synonyms).where("canonical is not null").select("crop_slug", "surface_form", "canonical")
+    views = views if views is not None else synonym_views(synonyms)
+    terms = matched_pests(synonyms.select("crop_slug", "surface_form").distinct(), "surface_form", views).where("canonical is not null").select("crop_slug", "surface_form", "canonical")
     known = longest_term(term_matches(rows, terms, row_id, "_text", "surface_form", key="crop_slug"), row_id, "surface_form")
     known = known.select(row_id, F.struct(F.col("canonical"), F.col("surface_form").alias("pest_string")).alias("_known"))
     norm = normalized("_text")
     local = F.coalesce(*[F.when(has_term(norm, F.lit(k)), F.struct(F.lit(domain.SYNONYMS[k]).alias("canonical"), F.lit(k).alias("pest_string"))) for k in domain.SYNONYMS if k in domain.LOCAL_PESTS])
-    guess = matched_pests(rows.select(row_id, "crop_slug", F.get(names.pest_phrases(F.col("_text")), F.lit(0)).alias("phrase")).where("phrase is not null"), "phrase", synonyms)
+    guess = matched_pests(rows.select(row_id, "crop_slug", F.get(names.pest_phrases(F.col("_text")), F.lit(0)).alias("phrase")).where("phrase is not null"), "phrase", views)
     keyed = synonyms.select(names.pest_key(F.col("surface_form")).alias("_key"), F.trim("canonical_name").alias("_c")).groupBy("_key").agg(F.count_distinct("_c").alias("_meanings"))
     guess = guess.withColumn("_key", names.pest_key(F.col("phrase"))).join(keyed, "_key", "left").select(row_id, F.struct("canonical", F.col("phrase").alias("pest_string"), (F.col("_meanings") > 1).alias("several")).alias("_guess"))
     out = rows.withColumn("_local", local).join(known, row_id, "left").join(guess, row_id, "left")
@@ -48,12 +51,12 @@ def pest_tags(df: DataFrame, row_id: str, text: str, synonyms: DataFrame) -> Dat
     return out.select(row_id, first("canonical").alias("canonical"), F.coalesce(first("pest_string"), F.lit("")).alias("pest_string"), reason.alias("reason"))
 
 
-def resolved_keys(df: DataFrame, row_id: str, text: str, synonyms: DataFrame, crop_hint: str | None = None) -> DataFrame:
+def resolved_keys(df: DataFrame, row_id: str, text: str, synonyms: DataFrame, crop_hint: str | None = None, views: list | None = None) -> DataFrame:
     """(row_id, crop_slug, canonical, method) of questions from their text; a crop that is given wins over the text's."""
     named = names.single_crop(F.col(text))
     crop = F.coalesce(F.col(crop_hint), named) if crop_hint else named
     rows = df.select(row_id, F.col(text).alias("_text"), crop.alias("crop_slug"), cells.application_method(F.col(text)).alias("method"))
-    tags = pest_tags(rows.where("crop_slug is not null"), row_id, "_text", synonyms)
+    tags = pest_tags(rows.where("crop_slug is not null"), row_id, "_text", synonyms, views)
     return rows.join(tags.select(row_id, "canonical"), row_id, "left").select(row_id, "crop_slug", "canonical", "method")
 
 
@@ -110,7 +113,7 @@ def sheet_text(rows: list | None, miss_reason: str | None, available: int) -> st
 
 def with_prompt(sheets: DataFrame, text: str, out: str = "user_message") -> DataFrame:
     """Adds the user message: the question with its crop, a blank line and the fact sheet."""
-    import pandas as pd
+    ready(sheets.sparkSession)
 
     @F.pandas_udf("string")
     def blocks(row_json: pd.Series, miss: pd.Series, available: pd.Series) -> pd.Series:

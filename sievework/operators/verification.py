@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, domain, names, values
 from ..functions.records import with_checked_record
 from .filters import label_flags
+from .graph import cut
 from .joins import first_of_key, narrow, prioritised
 
 #: Weights of the checks, the checks that block an answer, and the tolerance of a point dose.
@@ -35,6 +36,7 @@ class Labels:
     pests: DataFrame
     synonyms: DataFrame
     restrictions: DataFrame
+    views: list[tuple[str, DataFrame, list[str]]]
 
 
 def synonym_views(synonyms: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
@@ -56,22 +58,24 @@ def synonym_views(synonyms: DataFrame) -> list[tuple[str, DataFrame, list[str]]]
     ]
 
 
-def matched_pests(df: DataFrame, name: str, synonyms: DataFrame) -> DataFrame:
+def matched_pests(df: DataFrame, name: str, synonyms: DataFrame | list) -> DataFrame:
     """Adds canonical, pest_type, surface and confidence of the name in ``name`` on ``crop_slug``.
 
+    ``synonyms`` is the table or its views, if those are at hand.
+
     An unmatchable fragment has a surface but no canonical name; what isn't found,
     or has no crop, has neither and is ``unmatched``.
     """
     plain = df.withColumns({"_crop": F.col("crop_slug"), "crop_slug": F.lower(F.trim(F.coalesce(F.col("crop_slug"), F.lit("")))), "folded": names.folded_name(F.col(name)), "pest_key": names.pest_key(F.col(name))})
     known = plain.withColumns({k: F.when((F.col("crop_slug") != "") & (F.col("folded") != ""), F.col(k)) for k in ("folded", "pest_key")}).withColumn("pest_key", F.when(F.col("pest_key") != "", F.col("pest_key")))
-    found = prioritised(known, synonym_views(synonyms), ["canonical", "pest_type", "surface"])
+    found = prioritised(known, synonyms if isinstance(synonyms, list) else synonym_views(synonyms), ["canonical", "pest_type", "surface"])
     real = F.col("canonical").isNotNull() & (F.col("canonical") != domain.UNMATCHABLE)
     return found.withColumns(
         {"confidence": F.when(real, F.col("confidence")).otherwise("unmatched"), "pest_type": F.when(real, F.col("pest_type")), "canonical": F.when(real, F.col("canonical")), "crop_slug": F.col("_crop")}
     ).drop("_crop", "folded", "pest_key")
 
 
-def matched_cells(df: DataFrame, row_id: str, column: str, synonyms: DataFrame) -> DataFrame:
+def matched_cells(df: DataFrame, row_id: str, column: str, synonyms: DataFrame | list) -> DataFrame:
     """(row_id, crop_slug, ordinal, mention, canonical, surface) for every mention of pest cells; a failed name is tried again by its binomial."""
     mentions = names.pest_mentions(df.select(row_id, "crop_slug", column), column)
     mentions = mentions.withColumn("_name", F.when(F.col("common") != "", F.col("common")).otherwise(F.col("mention")))
@@ -83,18 +87,22 @@ def matched_cells(df: DataFrame, row_id: str, column: str, synonyms: DataFrame)
 
 
 def prepared_labels(labels: DataFrame, synonyms: DataFrame, restrictions: DataFrame, contradictions: DataFrame) -> Labels:
-    """Keys, flags and contradictions on the label facts, and the canonical names of their pest cells."""
+    """Keys, flags and contradictions on the label facts, and the canonical names of their pest cells.
+
+    All parts are looked up many times in one plan, so they are cut off here.
+    """
+    views = [(n, cut(v), k) for n, v, k in synonym_views(synonyms)]
     keys = ["source_file", "source_page", "source_row_index"]
     known = contradictions.select(*[F.col(k).cast("string").alias(k) for k in keys], F.concat_ws(": ", "group_id", "reason").alias("contradiction")).groupBy(*keys).agg(F.min("contradiction").alias("contradiction"))
     rows = label_flags(labels.withColumns({k: F.col(k).cast("string") for k in keys})).join(known, keys, "left")
     ingredient = F.col("active_ingredient")
     rows = rows.withColumns({"ai_set": cells.ingredient_set(ingredient), "strain": cells.strain_key(ingredient), "form_key": cells.formulation_key(ingredient), "application_method": F.coalesce("application_method", F.lit(""))})
-    pests = matched_cells(labels, "label_idx", "pest_or_disease", synonyms).where("canonical is not null").select("label_idx", "canonical").distinct()
+    pests = matched_cells(labels, "label_idx", "pest_or_disease", views).where("canonical is not null").select("label_idx", "canonical").distinct()
     limits = restrictions.select(
         cells.restricted_name(F.col("active_ingredient")).alias("name"), F.lower(F.trim("tier")).alias("tier"), "active_ingredient",
         F.filter(F.transform(F.split(F.coalesce("restricted_crops", F.lit("")), ";"), lambda c: F.lower(F.trim(c))), lambda c: c != "").alias("crops"),
     )
-    return Labels(rows, pests, synonyms, limits)
+    return Labels(cut(rows), cut(pests), cut(synonyms), cut(limits), views)
 
 
 def answerability(crop: Column, canonical: Column, any_trainable: Column) -> Column:
@@ -149,9 +157,9 @@ def verify(items: DataFrame, labels: Labels, mode: str = "score") -> DataFrame:
     (graded, ambiguous ones left out) and filter (dose and waiting period block, as
     does ambiguity). ``failures`` holds a code and a detail each.
     """
-    base = matched_pests(with_checked_record(items, "output"), "pest_query", labels.synonyms).join(pair_facts(labels), ["crop_slug", "canonical"], "left")
+    base = matched_pests(with_checked_record(items, "output"), "pest_query", labels.views).join(pair_facts(labels), ["crop_slug", "canonical"], "left")
     rec = F.col("checked.record")
-    base = base.withColumns({"answerability": answerability(F.col("crop_slug"), F.col("canonical"), F.col("any_trainable")), "asked_method": F.col("application_method")})
+    base = cut(base).withColumns({"answerability": answerability(F.col("crop_slug"), F.col("canonical"), F.col("any_trainable")), "asked_method": F.col("application_method")})
 
     said = base.where("checked.is_valid").select("item_id", "crop_slug", "canonical", "asked_method", rec["escalate_to_expert"].alias("escalates"), F.posexplode("checked.record.chemical_options").alias("position", "option"))
     name, form = F.col("option.active_ingredient"), F.col("option.formulation")
@@ -163,6 +171,7 @@ def verify(items: DataFrame, labels: Labels, mode: str = "score") -> DataFrame:
     hit = hit.where(F.col("tier").isin("banned", "refused_registration") | (F.size("crops") == 0) | F.array_contains("crops", crop))
     limited = hit.groupBy("item_id").agg(F.array_sort(F.collect_set("component")).alias("restricted"))
 
+    said = cut(said)
     cand = _candidates(said, labels)
     period, label_days = F.col("option.phi_days"), F.col("phi_days")
     cand = cand.withColumns(
@@ -232,7 +241,7 @@ def verify(items: DataFrame, labels: Labels, mode: str = "score") -> DataFrame:
     )
 
     causes = base.where("checked.is_valid").select("item_id", "crop_slug", "canonical", F.posexplode(values.top_by(F.col("checked.record.likely_causes"), "confidence", 3)).alias("rank", "cause"))
-    ranked = matched_pests(causes.withColumnRenamed("canonical", "gold").withColumn("cause_name", F.col("cause.name")), "cause_name", labels.synonyms)
+    ranked = matched_pests(causes.withColumnRenamed("canonical", "gold").withColumn("cause_name", F.col("cause.name")), "cause_name", labels.views)
     right = F.coalesce(F.col("canonical") == F.col("gold"), F.lit(False))
     named = ranked.where("gold is not null").groupBy("item_id").agg(F.max(F.when(F.col("rank") == 0, right.cast("double"))).alias("top1"), F.max(right.cast("double")).alias("top3"))
 

@@ -62,8 +62,9 @@ def guard_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieve_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = retrieval.resolved_keys(X.responses(spark), "item_id", "query_text", X.synonyms(spark))
-    sheets = retrieval.with_prompt(retrieval.fact_sheets(keys, "item_id", X.labels(spark)).join(X.responses(spark).select("item_id", "query_text"), "item_id"), "query_text")
+    lab = X.labels(spark)
+    keys = retrieval.resolved_keys(X.responses(spark), "item_id", "query_text", lab.synonyms, views=lab.views)
+    sheets = retrieval.with_prompt(retrieval.fact_sheets(keys, "item_id", lab).join(X.responses(spark).select("item_id", "query_text"), "item_id"), "query_text")
     return sheets.select("item_id", "crop_slug", "canonical", "rows_available", "rows_included", F.coalesce("miss_reason", F.lit("")).alias("miss_reason"), F.length("user_message").alias("message_chars"))
 
 
@@ -99,7 +100,7 @@ def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (dose_parse, phi_parse, crop_map, pest_split, ingredient_keys, method_extract, verify_score, verify_gate, verify_filter, guard_answers, retrieve_sheets, record_checks, gold_records, generation_rounds, candidate_order)}
 
 _ambiguous = {"two_uses": "C1_dose;C2_phi"}
-_gate_passes = ("good", "kilo", "drench", "seed")
+_gate_passes = ("good", "kilo", "refused", "drench", "seed")
 _valid = [a for a in X.ANSWERS if a[0] not in ("not_json", "not_valid")]
 SQL = {
     "dose_parse": X.values_sql([(r[0], r[1] or "", *r[2:]) for r in X.DOSES], ["cell", "unit_in", "d_branch", "d_pattern", "d_basis", "d_value_min", "d_value_max", "d_unit", "d_code"], ["VARCHAR"] * 5 + ["DOUBLE", "DOUBLE", "VARCHAR", "VARCHAR"]),
