@@ -219,55 +219,61 @@ def _postings(found: DataFrame, percent: int) -> DataFrame:
     return each.selectExpr("token", "cid", "pos", "cast(size as int) as size", "level", f"pos < size - {_overlap('size', 'size', percent)} + level as role")
 
 
-def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """``shared`` with each class's component and whether that is the component of the list's pivot."""
+def _open_lists(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Each row's component and whether that is its list's pivot's, for lists that aren't all in one component."""
     label = cut(components(links).toDF("cid", "label"))
-    named = shared.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = named.join(label.toDF("first", "home"), "first", "left").withColumn("home", F.coalesce("home", "first"))
-    return cut(named.withColumn("is_home", F.col("label") == F.col("home")).drop("home"))
+    named = rows.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = named.join(label.toDF("low", "home"), "low", "left").withColumn("home", F.coalesce("home", "low"))
+    named = named.withColumn("is_home", F.col("label") == F.col("home")).drop("home")
+    return cut(named.join(named.where("not is_home").select("token").distinct(), "token", "left_semi"))
 
 
 def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
     postings = _postings(found, percent)
+    # Pivots are taken from those who are an index: what they share comes early, so they are central.
     index = F.when(F.col("role"), F.col("cid"))
-    lists = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n_rows"))
-    lists = lists.where("low <> high and first is not null").select("token", "first", "last", "n_rows")
-    shared = cut(postings.join(cut(lists), "token").distinct())
+    lists = postings.groupBy("token").agg(F.min(index).alias("low"), F.max(index).alias("high"), F.count("*").alias("n_rows"))
+    lists = cut(lists.where("n_rows > 1 and low is not null"))
+    shared = cut(postings.join(lists, "token"))
 
     # At first each class meets the least and the greatest pivot of its lists.
-    ends = shared.groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    pivots = [ends.where(F.col("cid") != F.col(p)).select(*_ordered(F.col("cid"), F.col(p))) for p in ("first", "last")]
+    ends = shared.groupBy("cid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pivots = [ends.where(F.col("cid") != F.col(p)).select(*_ordered(F.col("cid"), F.col(p))) for p in ("low", "high")]
     tried = cut(pivots[0].union(pivots[1]).distinct())
     links = _verified(tried, rows, classes, n, percent)
-    named = _labelled(shared.drop("last"), links)
+    shared = shared.drop("high")
+    left = _open_lists(shared, links)
 
-    # In long lists, those who aren't in their pivot's component meet it themselves.
-    strays = named.where(f"not is_home and n_rows > {LONG_LIST}").select(*_ordered(F.col("cid"), F.col("first"))).distinct()
+    # Then, in long lists, those who aren't in their pivot's component meet it themselves.
+    strays = left.where(f"not is_home and n_rows > {LONG_LIST}").select(*_ordered(F.col("cid"), F.col("low"))).distinct()
     strays = cut(strays.join(tried, ["a", "b"], "left_anti"))
     if not strays.isEmpty():
-        tried = tried.union(strays)
+        tried = cut(tried.union(strays))
         links = cut(links.union(_verified(strays, rows, classes, n, percent)))
-        named = _labelled(shared.drop("last"), links)
+        left = _open_lists(left.drop("label", "is_home"), links)
+
+    level, need = "least(level, i_level)", _overlap("size", "i_size", percent)
+    fits = f"100 * least(size, i_size) >= {percent} * greatest(size, i_size) and pos < size - {need} + {level} and i_pos < i_size - {need} + {level}"
+    other = lambda df, *more: df.select("token", *[F.col(c).alias(f"i_{c}") for c in ("cid", "pos", "size", "level", *more)])
 
     # A pair across components has a member that isn't in the component of the list's pivot. It
     # is made once, at the first shingle that its prefixes share, if they share l in all.
-    places = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("places"))
-    held = named.join(cut(places), "cid").withColumn("before", F.transform(F.filter("places", lambda p: p["pos"] < F.col("pos")), lambda p: p["token"]))
-    larger = cut(held.select("token", "cid", "pos", "size", "level", "role", "label", "is_home", "places", "before"))
-    smaller = larger.where("role").select("token", *[F.col(c).alias(f"i_{c}") for c in ("cid", "pos", "size", "level", "label", "is_home", "places", "before")])
-    level, need = "least(level, i_level)", _overlap("size", "i_size", percent)
-    prefix = lambda p, size: f"transform(filter({p}, p -> p.pos < {size} - {need} + {level}), p -> p.token)"
+    places = left.groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("p"))
+    places = places.select("cid", F.transform("p", lambda x: x["token"]).alias("toks"), F.transform("p", lambda x: x["pos"]).alias("spots"))
+    held = cut(left.distinct().join(places, "cid").withColumn("rank", F.array_position("toks", F.col("token")).cast("int")))
+    smaller = other(held.where("role"), "label", "is_home", "toks", "spots", "rank")
+    prefix = lambda i, size: f"slice({i}toks, 1, size(filter({i}spots, p -> p < {size} - {need} + {level})))"
     across = F.expr(
-        f"label <> i_label and (size > i_size or size = i_size and cid > i_cid) and 100 * i_size >= {percent} * size"
-        f" and pos < size - {need} + {level} and i_pos < i_size - {need} + {level} and not arrays_overlap(before, i_before)"
-        f" and size(array_intersect({prefix('places', 'size')}, {prefix('i_places', 'i_size')})) >= {level}"
+        f"label <> i_label and (size > i_size or size = i_size and cid > i_cid) and {fits}"
+        f" and not arrays_overlap(slice(toks, 1, rank - 1), slice(i_toks, 1, i_rank - 1))"
+        f" and size(array_intersect({prefix('', 'size')}, {prefix('i_', 'i_size')})) >= {level}"
     )
-    met = larger.where("not is_home").join(smaller, "token").where(across).union(larger.where("is_home").join(smaller.where("not i_is_home"), "token").where(across))
-    left = cut(met.select(*_ordered(F.col("cid"), F.col("i_cid"))).distinct().join(tried, ["a", "b"], "left_anti"))
-    if left.isEmpty():
+    met = held.where("not is_home").join(smaller, "token").where(across).union(held.where("is_home").join(smaller.where("not i_is_home"), "token").where(across))
+    pairs = cut(met.select(*_ordered(F.col("cid"), F.col("i_cid"))).distinct().join(tried, ["a", "b"], "left_anti"))
+    if pairs.isEmpty():
         return links
-    return links.union(_verified(left, rows, classes, n, percent))
+    return links.union(_verified(pairs, rows, classes, n, percent))
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
