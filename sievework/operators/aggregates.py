@@ -19,7 +19,7 @@ def counts_over(df: DataFrame, column: str, keys: Iterable, out: str = "n") -> D
 
 def crosstab(df: DataFrame, row: str, column: str, values: Iterable) -> DataFrame:
     """Counts of ``row`` by the listed values of ``column``, 0 where none."""
-    return df.groupBy(row).pivot(column, list(values)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def rates(df: DataFrame, group: list[str], flags: dict[str, Column], digits: int = 2) -> DataFrame:
