@@ -68,7 +68,7 @@ def reply_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
         level = cut(live.join(done.unionAll(ahead), "up").select("node", F.col("next").alias("up"), (F.col("gap") + F.col("more")).alias("gap"), (F.col("total") + F.col("plus")).alias("total")))
         pointers.append(level.where("up is not null").select("node", "up"))
         ended.append(level.where("up is null"))
-    rooted = reduce(DataFrame.unionAll, ended)
+    rooted = cut(reduce(DataFrame.unionAll, ended))
     leaves = nodes.select("tree", "node").join(base.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
     scored = leaves.join(rooted, "node").select("tree", F.col("node").alias("path"), (F.col("total") / F.col("gap")).alias("path_score"), (F.col("gap") - 1).alias("depth"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "path"))
@@ -76,7 +76,8 @@ def reply_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     # Each chosen leaf and, pointer level by level from the longest reach, the ancestors that its path still lacks.
     walk = chosen.select("path", F.col("path").alias("node"))
     for hop in reversed(pointers[:-1] if len(pointers) > 1 else pointers):
-        walk = walk.unionAll(walk.join(hop, "node").select("path", F.col("up").alias("node")))
+        # Cut off each time, as the plan holds the walk so far twice.
+        walk = cut(walk.unionAll(walk.join(hop, "node").select("path", F.col("up").alias("node"))))
     on_path = walk.join(rooted.select("node", (F.col("gap") - 1).alias("step")), "node")
     return chosen.join(on_path, "path").select("tree", "path", "path_score", "path_rank", "node", "step")
 
