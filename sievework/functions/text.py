@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; written out, it would be worked out in each step of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeezed(text: Column | str) -> Column:
     """Runs of white space as one blank, none at the ends; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"(?U)\s+", " "))
@@ -75,9 +81,11 @@ def has_term(text: Column, term: Column) -> Column:
 
 def word_shingles(text: Column | str, k: int = 3) -> Column:
     """Distinct runs of ``k`` words of the normal form; a shorter text is one run, an empty one none."""
-    words = F.split(normalized(text), " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.filter(F.array_distinct(runs), lambda s: s != "")
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+
+    return F.filter(F.array_distinct(let(F.split(normalized(text), " "), runs)), lambda s: s != "")
 
 
 def merged_single_letters(tokens: Column) -> Column:
@@ -96,8 +104,9 @@ def merged_single_letters(tokens: Column) -> Column:
 def first_difference(a: Column, b: Column) -> Column:
     """The first place, from 0, where two strings differ; null if they are equal."""
     shorter = F.least(F.length(a), F.length(b))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(a == b, F.lit(None).cast("int")).when(shorter == 0, F.lit(0)).when(F.size(places) > 0, F.get(places, F.lit(0)) - 1).otherwise(shorter)
+    letters = lambda c: F.split(F.substring(c, F.lit(1), shorter), "")
+    place = F.array_position(F.zip_with(letters(a), letters(b), lambda x, y: x != y), True)
+    return F.when(a == b, F.lit(None).cast("int")).when(shorter == 0, F.lit(0)).when(place > 0, place.cast("int") - 1).otherwise(shorter)
 
 
 def is_prose_cell(text: Column | str) -> Column:

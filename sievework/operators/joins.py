@@ -69,11 +69,14 @@ def term_matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str, te
     runs = F.flatten(
         F.transform(sizes, lambda n: F.when(n <= F.size("_words"), F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>")))
     )
-    asked = words.select(text_id, *keys, F.col("_words"), F.explode(F.array_distinct(runs)).alias("_run"))
-    known = terms.withColumn("_term", normalized(term)).where("_term <> ''")
+    asked = words.select(text_id, *keys, F.explode(F.array_distinct(runs)).alias("_run"))
+    known = terms.withColumn("_term", normalized(term)).where("_term <> ''").withColumn("_size", F.size(F.split("_term", " ")))
     known = known.withColumn("_run", F.array_join(F.slice(F.split("_term", " "), 1, longest), " "))
-    met = asked.join(known, [*keys, "_run"])
-    return met.where(has_term(F.array_join("_words", " "), F.col("_term"))).drop("_words", "_run", "_term")
+    short = asked.join(known.where(F.col("_size") <= longest), [*keys, "_run"])
+    # Only for terms of more words are the whole texts looked at again.
+    long = asked.join(known.where(F.col("_size") > longest), [*keys, "_run"]).join(words.select(text_id, "_words"), text_id)
+    long = long.where(has_term(F.array_join("_words", " "), F.col("_term"))).drop("_words")
+    return short.unionByName(long).drop("_run", "_term", "_size")
 
 
 def longest_term(matches: DataFrame, text_id: str, term: str) -> DataFrame:
