@@ -14,15 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe, language, ngram_join, queries, secret_scan, tiling
+from sievework.llm._common import without_ids
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't found with a probability of one half or more."""
     model = language.train_language(docs)
-    # Only ids go through the joins; the documents themselves are met again at the end.
     judged = language.identify_language(docs.select("doc_id", "text", "lang", "source"), model, declared=F.col("lang"), host=F.col("source"))
-    rejected = judged.where(~F.col("accepted")).select(F.col("doc_id").alias("_sw_doc")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_sw_doc"], "left_anti")
+    return without_ids(docs, "doc_id", judged.where(~F.col("accepted")).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

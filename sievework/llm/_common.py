@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut  # noqa: F401
+from ..operators.graph import components, cut
+from ..session import ready
 
-_SHIPPED: set[str] = set()
-_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+__all__ = ["components", "cut", "ready", "without_ids", "word_hashes", "shingles", "mix", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_KEYS"]
 
+#: Up to so many keys are broadcast: 32 MB. Beyond that rows are shuffled to them.
+BROADCAST_KEYS = 2_000_000
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application and bound Arrow batches.
 
-    A batch of 10,000 long texts would not fit a small Python worker, so the
-    default is lowered; a value that the user has set stays.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        root = Path(__file__).resolve().parents[2]
-        target = os.path.join(tempfile.mkdtemp(prefix="sievework-"), "sievework_pkg.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted((root / "sievework").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        sc.addPyFile(target)
-        _SHIPPED.add(sc.applicationId)
-    if spark.conf.get(_RECORDS) == "10000":
-        spark.conf.set(_RECORDS, "1000")
-    return spark
+def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` isn't among the one column of ``ids``; rows with a null stay."""
+    gone = cut(ids.toDF("_sw_id").distinct())
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return df.join(gone, df[column] == gone["_sw_id"], "left_anti")
 
 
 # -- hashed words -----------------------------------------------------------

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, as_bytes, components, cut, ready, shingles, word_hashes
+from ._common import BROADCAST_KEYS, SPACES, as_bytes, components, cut, ready, shingles, without_ids, word_hashes
 
 #: Counters of the sketch, whose size doesn't depend on the data: 16 MB on each side.
 SKETCH_BITS = 22
@@ -35,8 +35,6 @@ MAX_MATCHES = 4
 _VERIFY_COST = 16.0
 #: Lists with more rows get a second round of pivots.
 LONG_LIST = 8
-#: Up to so many keys of documents to verify are broadcast: 32 MB.
-BROADCAST_KEYS = 2_000_000
 
 
 def shingle_set(data: bytes, n: int) -> np.ndarray:
@@ -306,5 +304,5 @@ def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows without a set all stay, as do rows with a null id. Repeated rows with the
     id that stays all stay.
     """
-    kept = jaccard_components(df, doc_id, text, n, percent).where("doc <> component").select(F.col("doc").alias("_sw_doc")).distinct()
-    return df.join(kept, df[doc_id] == kept["_sw_doc"], "left_anti")
+    others = jaccard_components(df, doc_id, text, n, percent).where("doc <> component")
+    return without_ids(df, doc_id, others.select("doc"))
