@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from ..operators.graph import components, cut
 from ..session import ready
 
-__all__ = ["components", "cut", "ready", "without_ids", "word_hashes", "shingles", "mix", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_KEYS"]
+__all__ = ["components", "cut", "ready", "small", "without_ids", "word_hashes", "shingles", "mix", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_KEYS"]
 
 #: Up to so many keys are broadcast: 32 MB. Beyond that rows are shuffled to them.
 BROADCAST_KEYS = 2_000_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A frame that is cut off already, marked for broadcast if its rows are few enough; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``column`` isn't among the one column of ``ids``; rows with a null stay."""
-    gone = cut(ids.toDF("_sw_id").distinct())
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
+    gone = small(cut(ids.toDF("_sw_id").distinct()))
     return df.join(gone, df[column] == gone["_sw_id"], "left_anti")
 
 

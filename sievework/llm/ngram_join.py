@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_KEYS, SPACES, as_bytes, components, cut, ready, shingles, without_ids, word_hashes
+from ._common import SPACES, as_bytes, components, cut, ready, shingles, small, without_ids, word_hashes
 
 #: Counters of the sketch, whose size doesn't depend on the data: 16 MB on each side.
 SKETCH_BITS = 22
@@ -183,14 +183,12 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold; the texts of their classes are read once more."""
-    size = classes.select("cid", "size")
+    size = small(classes.select("cid", "size"))
     sized = pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
     fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
     pairs = cut(sized.where(fit).select("a", "b"))
     asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    keys = cut(classes.join(asked, "cid", "left_semi").select("key"))
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)  # so the texts aren't shuffled; beyond that size they are
+    keys = small(cut(classes.join(asked, "cid", "left_semi").select("key")))  # so the texts aren't shuffled
     sets = cut(_sets(rows.join(keys, "key", "left_semi"), n))
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
@@ -206,34 +204,45 @@ def _overlap(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
+#: A place in a prefix as one number: pos, size, level and role, from the highest bits on.
+_TAG = "(cast(pos as bigint) << 36) | (cast(size as bigint) << 8) | (level << 1) | cast(role as int)"
+_UNTAG = {"pos": "cast(tag >> 36 as int)", "size": "cast((tag >> 8) & 268435455 as int)", "level": "cast((tag >> 1) & 127 as int)", "role": "(tag & 1) = 1"}
+
+
 def _postings(found: DataFrame, percent: int) -> DataFrame:
-    """(token, cid, pos, size, level, role): a row for each place in a class's prefix.
+    """(token, cid, tag): a row for each place in a class's prefix; ``tag`` holds pos, size, level and role.
 
     Of two sets the larger one probes and the smaller one is the index, as the
     least overlap with a set as large or larger leaves the index a shorter prefix.
     ``role`` is 1 for places that the class has as an index too.
     """
     each = found.where("level > 0").select("cid", "size", "level", F.posexplode("tokens").alias("pos", "token"))
-    return each.selectExpr("token", "cid", "pos", "cast(size as int) as size", "level", f"pos < size - {_overlap('size', 'size', percent)} + level as role")
+    each = each.withColumn("role", F.expr(f"pos < size - {_overlap('size', 'size', percent)} + level"))
+    return each.selectExpr("token", "cid", f"{_TAG} as tag")
+
+
+def _untagged(df: DataFrame) -> DataFrame:
+    return df.withColumns({k: F.expr(v) for k, v in _UNTAG.items()}).drop("tag")
 
 
 def _open_lists(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Each row's component and whether that is its list's pivot's, for lists that aren't all in one component."""
-    label = cut(components(links).toDF("cid", "label"))
+    label = small(cut(components(links).toDF("cid", "label")))
     named = rows.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = named.join(label.toDF("low", "home"), "low", "left").withColumn("home", F.coalesce("home", "low"))
     named = named.withColumn("is_home", F.col("label") == F.col("home")).drop("home")
-    return cut(named.join(named.where("not is_home").select("token").distinct(), "token", "left_semi"))
+    tokens = small(cut(named.where("not is_home").select("token").distinct()))
+    return cut(named.join(tokens, "token", "left_semi"))
 
 
 def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
     postings = _postings(found, percent)
     # Pivots are taken from those who are an index: what they share comes early, so they are central.
-    index = F.when(F.col("role"), F.col("cid"))
+    index = F.when(F.expr("(tag & 1) = 1"), F.col("cid"))
     lists = postings.groupBy("token").agg(F.min(index).alias("low"), F.max(index).alias("high"), F.count("*").alias("n_rows"))
     lists = cut(lists.where("n_rows > 1 and low is not null"))
-    shared = cut(postings.join(lists, "token"))
+    shared = cut(postings.join(lists, "token").withColumn("is_long", F.col("n_rows") > LONG_LIST).drop("n_rows"))
 
     # At first each class meets the least and the greatest pivot of its lists.
     ends = shared.groupBy("cid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -244,7 +253,7 @@ def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p
     left = _open_lists(shared, links)
 
     # Then, in long lists, those who aren't in their pivot's component meet it themselves.
-    strays = left.where(f"not is_home and n_rows > {LONG_LIST}").select(*_ordered(F.col("cid"), F.col("low"))).distinct()
+    strays = left.where("not is_home and is_long").select(*_ordered(F.col("cid"), F.col("low"))).distinct()
     strays = cut(strays.join(tried, ["a", "b"], "left_anti"))
     if not strays.isEmpty():
         tried = cut(tried.union(strays))
@@ -257,9 +266,10 @@ def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p
 
     # A pair across components has a member that isn't in the component of the list's pivot. It
     # is made once, at the first shingle that its prefixes share, if they share l in all.
+    left = _untagged(left)
     places = left.groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("p"))
     places = places.select("cid", F.transform("p", lambda x: x["token"]).alias("toks"), F.transform("p", lambda x: x["pos"]).alias("spots"))
-    held = cut(left.distinct().join(places, "cid").withColumn("rank", F.array_position("toks", F.col("token")).cast("int")))
+    held = cut(left.distinct().join(small(cut(places)), "cid").withColumn("rank", F.array_position("toks", F.col("token")).cast("int")))
     smaller = other(held.where("role"), "label", "is_home", "toks", "spots", "rank")
     prefix = lambda i, size: f"slice({i}toks, 1, size(filter({i}spots, p -> p < {size} - {need} + {level})))"
     across = F.expr(

@@ -16,7 +16,6 @@ DOCS = "doc_id bigint, text string"
 
 
 def shingles(text, n):
-    words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
 
@@ -78,7 +77,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_edges(spark):
-    model = toxicity.fit(["you idiot. fine words here"] * 8 + ["fine words here", "other fine words"] * 8, np.array([1] * 8 + [0] * 16))
+    model = toxicity.fit(["you idiot. fine words here"] * 60 + ["fine words here", "fine day, bye ok", "you here"] * 60, np.array([1] * 60 + [0] * 180))
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Fine day. You Idiot! Bye."), (4, "fine words"), (5, "ok. " * 50_000 + "idiot.")], DOCS).withColumn("score", F.lit("old"))
     rows = {r["doc_id"]: r for r in toxicity.score_toxicity(df, model, score="score", spans="found").collect()}
     assert rows[1]["score"] == rows[2]["score"] == 0.0
