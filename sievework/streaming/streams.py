@@ -13,21 +13,26 @@ def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _watermarked(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermarks need an instant, so a local time is taken in the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def first_within(stream: DataFrame, time: str, delay: str, key: str, text: str) -> DataFrame:
     """The first row of each normal form in a key; the state is dropped as the watermark passes."""
-    hashed = stream.withColumn("text_hash", content_hash(text)).withWatermark(time, delay)
+    hashed = _watermarked(stream.withColumn("text_hash", content_hash(text)), time, delay)
     return hashed.dropDuplicatesWithinWatermark([key, "text_hash"])
 
 
 def windowed_counts(stream: DataFrame, time: str, delay: str, window: str, by: list[str], slide: str | None = None) -> DataFrame:
     """Rows and summed values of each event-time window; late rows beyond the delay are dropped."""
     span = F.window(time, window, slide) if slide else F.window(time, window)
-    return stream.withWatermark(time, delay).groupBy(span, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
+    return _watermarked(stream, time, delay).groupBy(span, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
 
 
 def sessions(stream: DataFrame, time: str, delay: str, gap: str, by: list[str]) -> DataFrame:
     """Runs of rows no more than ``gap`` apart."""
-    return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
+    return _watermarked(stream, time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -54,7 +54,7 @@ def test_prose_cell(spark):
 
 def test_per_acre_is_for_areas_only(spark):
     df = spark.createDataFrame([(3750.0, "per_ha"), (3750.0, "per_tree"), (None, "per_ha")], "v double, b string")
-    assert [r[0] for r in df.select(values.per_acre(F.col("v"), F.col("b"))).collect()] == [1517.5433, None, None]
+    assert [r[0] for r in df.select(values.per_acre(F.col("v"), F.col("b"))).collect()] == [1517.5428, None, None]
 
 
 def test_consensus_and_weights(spark):
