@@ -4,11 +4,14 @@ A candidate string is priced by what it adds to a zstandard frame: the frame of
 the code around it and the string, less the frame of that code alone, both primed
 with a dictionary of common identifiers. Identifiers, paths and repeated values
 compress well; random keys don't. Candidates near a word such as ``key`` or
-``auth`` whose price per character reaches a threshold are reported.
+``auth``, on their line or the one before, whose price per character reaches a
+threshold are reported. An assignment without quotes or blanks is priced as a
+whole, then by its parts. The body of a private key in PEM form is one candidate.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -42,7 +45,22 @@ undefined unsigned update upload url user user_id username utf8 value values var
 webhook while with write yield 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ www.example.com
 """
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-_SENSITIVE = re.compile(r"(?<![a-z])(?:" + "|".join(CONTEXT_WORDS) + r")(?:s|\b|_|[^a-z])", re.I | re.A)
+_words = "|".join(CONTEXT_WORDS)
+_Title = "|".join(w.capitalize() for w in CONTEXT_WORDS)
+#: A word, or several without a gap, from a border on: no letter before, or a capital after other letters (apiKey, mySECRET).
+_SENSITIVE = re.compile(
+    rf"(?<![A-Za-z])(?i:{_words})+(?=[sS]|[^A-Za-z]|\Z)"
+    rf"|(?<![A-Za-z])(?:{_words}|{_Title})(?=[A-Z])"
+    rf"|(?<=[A-Za-z])(?:{_Title})(?=s|[^a-z]|\Z)"
+    rf"|(?<=[a-z])(?:{_words.upper()})(?=[sS]|[^A-Za-z]|\Z)"
+)
+#: Where the parts of a candidate begin. Signs at its end are padding.
+_PART = re.compile(r"(?<=[^=])=+(?=[^=])")
+#: The body of a private key: headers, then long runs of base64, the last of any length if the end mark follows.
+_PEM = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr])*+(?:[A-Za-z-]{1,40}: [^\n\\]*+(?:\s|\\[nr])++)*+"
+    r"((?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?=(?:\s|\\[nr])*+-----END))?)"
+)
 _AROUND, _NEAR = 256, 48
 
 
@@ -76,24 +94,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, per_char: float) -> list[tuple[int, int, int]]:
-    """Candidates that no base span overlaps, in a sensitive context and priced at ``per_char`` bytes or more a character."""
+    """Candidates that no base span overlaps, in a sensitive context and priced at ``per_char`` bytes or more a character.
+
+    The context is what comes before on the line, up to 48 characters, and the end
+    of the last line before that isn't blank, up to 256. Bodies of private keys
+    need no other context and may overlap base spans.
+    """
     out = []
     if not _SENSITIVE.search(text):
         return out
-    taken, at = base, 0
+    dear = lambda s, e: novelty.price(text, s, e) >= per_char * (e - s)
+    if "-----BEGIN " in text:
+        out = [(m.start(1), m.end(1), 3) for m in _PEM.finditer(text) if m[1] and dear(*m.span(1))]
+    taken, at = sorted(base + out), 0
+    line = seen = 0
+
+    def sensitive(s):
+        if _SENSITIVE.search(text, max(line, s - _NEAR), s):
+            return True
+        before = text[max(0, line - _AROUND) : line].rstrip()
+        return bool(_SENSITIVE.search(before, before.rfind("\n") + 1))
+
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         while at < len(taken) and taken[at][1] <= s:
             at += 1
-        if any(b[0] < e and b[1] > s for b in taken[at:] if b[0] < e):
-            continue
-        word = m[0]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        line = text.rfind("\n", 0, s) + 1
-        if _SENSITIVE.search(text, max(line, s - _NEAR), s) and novelty.price(text, s, e) >= per_char * (e - s):
-            out.append((s, e, 3))
-    return out
+        line = max(line, text.rfind("\n", seen, s) + 1)
+        seen = s
+        spans = [(s, e)]
+        if "=" in m[0]:
+            cuts = [c.span() for c in _PART.finditer(text, s, e)]
+            if cuts:
+                spans += zip([s, *(c[1] for c in cuts)], [*(c[0] for c in cuts), e], strict=True)
+        for i, (x, y) in enumerate(spans):
+            word = text[x:y]
+            if y - x < 16 or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+                continue
+            if any(b[0] < y and b[1] > x for b in itertools.takewhile(lambda b: b[0] < y, itertools.islice(taken, at, None))):
+                continue
+            if sensitive(x) and dear(x, y):
+                out.append((x, y, 3))
+                if i == 0:
+                    break
+    return sorted(out)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
