@@ -14,12 +14,60 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_texts as L
+
 #: Spellings that count as equal, applied in this order to lower-case text without punctuation.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("favour", "favor"), ("honour", "honor"), ("organisation", "organization"), ("authorise", "authorize"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("per cent", "percent"))
+#: Words that follow "copyright" in licence prose, where a wrapped line may begin with it.
+PROSE = (
+    "also and are as disclaim disclaimer disclaimers doctrines for holder holders if in interest interests is law laws license licensed licenses licence licences like line notice notices "
+    "of on or owner owners ownership patent permission right rights statement statements that the this those to treaty under"
+).split()
+
+
+def _other(words: list[str]) -> str:
+    """A pattern, without lookahead, for a run of other characters than blanks that isn't one of ``words``."""
+    heads = sorted({w[0] for w in words})
+    parts = [f"[^ {''.join(heads)}][^ ]*"]
+    for h in heads:
+        tails = [w[1:] for w in words if w[0] == h]
+        longer = _other([t for t in tails if t]) if any(tails) else "[^ ]+"
+        parts.append(h + (f"(?:{longer})" if "" in tails else f"(?:{longer})?"))
+    return "|".join(parts)
+
+
 #: What a copyright line starts with, after punctuation is gone.
-COPYRIGHT = r"^(copyright( c)?|c) ?([0-9]{4}.*|year.*|the .* (authors|contributors))$|^all rights reserved$|^portions copyright .*$"
+COPYRIGHT = (
+    r"^(copyright( c)?|c) ?([0-9]{4}.*|year.*|the .* (authors|contributors))$|^all rights reserved$|^portions copyright .*$"
+    rf"|^(c )?copyright (copyright )?({_other(PROSE)})( .*)?$"
+)
 _KEPT = r"[^\p{L}\p{N}]+"
 
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TERMS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd(n: int) -> list[str]:
+    """The text with ``n`` terms, numbered and with bullets."""
+    return ["\n".join([_BSD_HEAD, *(f"{mark(i)} {t}" for i, t in enumerate(_BSD_TERMS[:n], 1)), _BSD_END]) for mark in (lambda i: f"{i}.", lambda i: "*")]
+
+
+def _titled(titles: list[str], texts: list[str]) -> list[str]:
+    """Each text as it is and after each title line."""
+    return [*texts, *(f"{title}\n\n{t}" for title in titles for t in texts)]
+
+
+def _whole(text: str, end: str | None = None) -> list[str]:
+    """A long text, up to the end of its terms too, with addresses in both schemes."""
+    cut = [text, text[: text.index(end) + len(end)]] if end else [text]
+    return list(dict.fromkeys(x for t in cut for x in (t, t.replace("https://", "http://"), t.replace("http://", "https://"))))
+
+
 #: Known texts, licence by licence. Notices are whole lines.
 KNOWN = {
     "MIT": [
@@ -53,6 +101,30 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+#: Title lines before the text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "BSD License", "The BSD License", "New BSD License", "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "BSD License", "The BSD License", "Simplified BSD License", "FreeBSD License", 'BSD 2-Clause "Simplified" License'],
+}
+_END = "END OF TERMS AND CONDITIONS"
+FULL = {
+    **{k: KNOWN[k][:1] for k in ("MIT", "ISC", "Zlib")},
+    "BSD-3-Clause": _bsd(3),
+    "BSD-2-Clause": _bsd(2),
+    "Apache-2.0": _whole(L.APACHE_2, _END),
+    "GPL-2.0": _whole(L.GPL_2, _END),
+    "GPL-3.0": _whole(L.GPL_3, _END),
+    "LGPL-2.1": _whole(L.LGPL_2_1, _END),
+    "LGPL-3.0": _whole(L.LGPL_3),
+    "MPL-2.0": _whole(L.MPL_2),
+}
+_NOTICES = {"BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"], "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0"], **{k: [f"SPDX-License-Identifier: {k}-only", f"SPDX-License-Identifier: {k}-or-later"] for k in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0")}}
+KNOWN = {k: list(dict.fromkeys([*KNOWN.get(k, []), *_titled(TITLES.get(k, []), FULL.get(k, [])), *_NOTICES.get(k, [])])) for k in sorted({*KNOWN, *FULL, *_NOTICES})}
+
+
 def canonical_line(line: Column) -> Column:
     """One line in canonical form; empty for copyright lines and lines without letters or digits."""
     plain = F.trim(F.regexp_replace(F.lower(line), _KEPT, " "))

@@ -1,11 +1,12 @@
 """Cases that an earlier state cut off."""
 
 import base64
+import re
 
 import numpy as np
 import pytest
 
-from sievework.llm import secret_scan
+from sievework.llm import license_scan, secret_scan
 
 NOISE = "kJ8sQ2vXw7PjR4tLm9YcB1nHsZk5"
 DOCS = "doc_id bigint, text string"
@@ -44,3 +45,26 @@ def test_private_key_body(feed, kind):
     text = f"a\n-----BEGIN {kind}-----{feed}{body}{feed}-----END {kind}-----{feed}b"
     spans = secret_scan.novel_spans(text, [], secret_scan.Novelty(), 0.6)
     assert [text[s:e] for s, e, _ in spans] == [body]
+
+
+@pytest.mark.parametrize("title", ["MIT License", "The MIT License (MIT)"])
+def test_titled_license_file(spark, title):
+    mit = license_scan.KNOWN["MIT"][0]
+    lines = ["Copyright (c) 2020 A. B.", "Copyright Some Company, Inc.", "(c) Copyright 2019-present, C. D.", "Copyright by E. F.", "Copyright (C) Contributors to G"]
+    df = spark.createDataFrame([(i, f"{title}\n\n{line}\n\n{mit}") for i, line in enumerate(lines)], DOCS)
+    got = license_scan.find_licenses(df, license_scan.known_licenses(spark)).collect()
+    assert sorted((r["doc_id"], r["part"], r["license_id"]) for r in got) == [(i, 0, "MIT") for i in range(len(lines))]
+
+
+def test_full_texts_however_wrapped(spark):
+    """Lines may begin with any word, so also with the 'copyright' of licence prose."""
+    wanted, rows = {}, []
+    for name, texts in license_scan.FULL.items():
+        own = [x for x in texts[0].split("\n") if not x.strip().lower().startswith("copyright (c)") and not x.strip().startswith("Copyright [")]
+        wrapped = re.sub(r"(?i)\s+(copyright\b)", r"\n\1", " ".join(own)) if "Copyright (C)" not in " ".join(own) else "\n".join(own)
+        for t in (texts[0], "Copyright 2021 H. I.\n" + "\n".join(own), wrapped):
+            wanted[len(rows)] = name
+            rows.append((len(rows), t))
+    got = license_scan.find_licenses(spark.createDataFrame(rows, DOCS), license_scan.known_licenses(spark)).where("part = 0").collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == wanted
+    assert {"Apache-2.0", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "LGPL-2.1", "LGPL-3.0"} <= set(wanted.values())
