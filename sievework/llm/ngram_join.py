@@ -15,6 +15,10 @@ members. In the others, only pairs across components are left. Their sizes give
 the exact overlap that the two need, and so the shorter prefixes in which they must
 share l shingles; pairs that do are verified. All links between components are
 found this way, without ever forming all pairs inside one.
+
+All links are inside the components then. They are found there by exact overlaps:
+a component's classes are dealt into blocks of bounded size, and each two blocks
+meet once. Counts of links are summed inside a block, so they make no row a pair.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ MAX_MATCHES = 4
 _VERIFY_COST = 16.0
 #: Lists with more rows get a second round of pivots.
 LONG_LIST = 8
+#: About so many shingles make a block: 2 MB.
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_set(data: bytes, n: int) -> np.ndarray:
@@ -284,8 +290,85 @@ def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p
     return links.union(_verified(pairs, rows, classes, n, percent))
 
 
+def _meet(mine: list[np.ndarray], others: list[np.ndarray], percent: int, same: bool):
+    """(places in ``mine``, place in ``others``) of the sets that reach the threshold; for one block with itself each pair once."""
+    tokens = np.concatenate(mine)
+    order = np.argsort(tokens, kind="stable")
+    sizes = np.array([len(s) for s in mine])
+    tokens, owner = tokens[order], np.repeat(np.arange(len(mine)), sizes)[order]
+    for y, s in enumerate(others):
+        low = np.searchsorted(tokens, s, "left")
+        n = np.searchsorted(tokens, s, "right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(mine))
+        hit = np.flatnonzero(100 * shared >= percent * (sizes + len(s) - shared))
+        yield (hit[hit < y] if same else hit), y
+
+
+def _inside(rows: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(label, i, j, rows, others): each two blocks of each component of several of the classes ``members`` (cid, key, size, docs, label)."""
+    blocks = F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int")
+    several = members.groupBy("label").agg(F.count("*").alias("_n"), blocks.alias("blocks")).where("_n > 1").drop("_n")
+    inside = cut(members.join(small(cut(several)), "label"))
+    keys = small(cut(inside.select("key").distinct()))
+    sets = _sets(rows.join(keys, "key", "left_semi"), n).dropDuplicates(["cid"]).join(inside.select("cid", "docs", "label", "blocks"), "cid")
+    dealt = sets.withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    packed = cut(dealt.groupBy("label", "blocks", "block").agg(F.collect_list(F.struct("cid", "docs", "shingles")).alias("rows")))
+    one = packed.select("label", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "rows")
+    two = packed.select("label", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("others"))
+    return one.join(two, ["label", "i", "j"])
+
+
+def _met(inside: DataFrame, percent: int, counts: bool) -> DataFrame:
+    """(cid, n): how many documents of other classes link with those of a class, in parts; or the links (a, b) themselves."""
+    import pyarrow as pa
+
+    def unpacked(block):
+        """(cids, docs, sets) of one list of structs."""
+        cid, docs, lists = block.values.flatten()
+        return cid.to_numpy(), docs.to_numpy(), [x.values.to_numpy() for x in lists]
+
+    def run(batches):
+        for batch in batches:
+            for i, j, rows, others in zip(*(batch.column(k) for k in range(4)), strict=True):
+                same = i.as_py() == j.as_py()
+                a, docs_a, mine = unpacked(rows)
+                b, docs_b, theirs = unpacked(others)
+                left, right = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+                for hit, y in _meet(mine, theirs, percent, same):
+                    if counts:
+                        left[hit] += docs_b[y]
+                        right[y] += docs_a[hit].sum()
+                    elif len(hit):
+                        other = np.full(len(hit), b[y])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[hit], other)), pa.array(np.maximum(a[hit], other))], names=["a", "b"])
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([left, right]))], names=["cid", "n"])
+
+    return inside.select("i", "j", "rows", "others").mapInArrow(run, "cid bigint, n bigint" if counts else "a bigint, b bigint")
+
+
+def _joined(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, what is found of each, its classes with their component's label and least id)."""
+    rows = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = rows.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
+    found = cut(_read(rows, n, percent))
+    classes = cut(found.where("cid is not null").groupBy("cid").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.max("size").alias("size"), F.count("*").alias("docs")))
+    links = class_links(found, rows, classes, n, percent)
+    groups = components(links).toDF("cid", "label")
+    labelled = classes.join(groups, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component"))
+    return rows, found, cut(labelled.join(cut(least), "label").select("cid", "key", "size", "docs", "label", "component"))
+
+
+def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """All links (a, b) between different sets, a < b, as classes; ``cid`` of ``jaccard_components`` tells the members."""
+    rows, _, members = _joined(df, doc_id, text, n, percent)
+    return _met(_inside(rows, members, n, percent), percent, counts=False)
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Each row's ``doc``, ``size`` (distinct n-word shingles), ``cid`` (class of equal sets) and ``component``.
+    """Each row's ``doc``, ``size`` (distinct n-word shingles), ``cid`` (class of equal sets), ``component`` and ``links``.
 
     Words are runs of other bytes than white space, A-Z lower-cased. A text of
     fewer words is one shingle; a null or empty one has none, links with nothing
@@ -293,19 +376,15 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ``percent`` times all of the two. ``component`` is the least id reachable, the
     row's own included. Repeated rows and ids count as they are; rows with a null id
     take part and have the least known id of their component, or null. Ids are
-    integers. Shingles and sets are compared by 64-bit hashes.
+    integers. Shingles and sets are compared by 64-bit hashes. ``links`` is the
+    number of other rows that the row links with, all of them verified, those with
+    an equal set included; ``linked_classes`` lists them.
     """
-    rows = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
-    found = cut(_read(rows, n, percent))
-    classes = cut(found.where("cid is not null").groupBy("cid").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.max("size").alias("size")))
-    links = class_links(found, rows, classes, n, percent)
-    groups = components(links).toDF("cid", "label")
-    labelled = classes.select("cid", "least").join(groups, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    labels = cut(labelled.join(cut(least), "label").select("cid", "component"))
+    rows, found, members = _joined(df, doc_id, text, n, percent)
+    others = _met(_inside(rows, members, n, percent), percent, counts=True).groupBy("cid").agg(F.sum("n").alias("others"))
+    labels = cut(members.join(others, "cid", "left").select("cid", "component", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("links")))
     out = found.select("id", "size", "cid").join(labels, "cid", "left")
-    return out.select(F.col("id").alias("doc"), "size", "cid", F.coalesce("component", "id").alias("component"))
+    return out.select(F.col("id").alias("doc"), "size", "cid", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -314,5 +393,6 @@ def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows without a set all stay, as do rows with a null id. Repeated rows with the
     id that stays all stay.
     """
-    others = jaccard_components(df, doc_id, text, n, percent).where("doc <> component")
-    return without_ids(df, doc_id, others.select("doc"))
+    _, found, members = _joined(df, doc_id, text, n, percent)
+    others = found.select("id", "cid").join(members.select("cid", "component"), "cid").where("id <> component")
+    return without_ids(df, doc_id, others.select("id"))

@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
-    return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from test_brute_force import shingles
 
-from sievework.llm import license_scan, secret_scan
+from sievework.llm import license_scan, ngram_join, secret_scan
 
 NOISE = "kJ8sQ2vXw7PjR4tLm9YcB1nHsZk5"
 DOCS = "doc_id bigint, text string"
@@ -68,3 +69,25 @@ def test_full_texts_however_wrapped(spark):
     got = license_scan.find_licenses(spark.createDataFrame(rows, DOCS), license_scan.known_licenses(spark)).where("part = 0").collect()
     assert {r["doc_id"]: r["license_id"] for r in got} == wanted
     assert {"Apache-2.0", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "LGPL-2.1", "LGPL-3.0"} <= set(wanted.values())
+
+
+@pytest.mark.parametrize("block", [1 << 18, 100])
+def test_join_returns_all_links(spark, monkeypatch, block):
+    """A group of near copies, a chain and exact copies against all pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(40)] + [" ".join(base[k:] + [f"y{i}" for i in range(k)]) for k in range(0, 24, 3)]
+    texts += [texts[3], texts[3].upper(), "alone here", "", None]
+    sets = [shingles(t, 3) for t in texts]
+    near = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = ngram_join.jaccard_components(df, n=3, percent=80).collect()
+    wanted = {i: sum(bool(near(sets[i], sets[j])) for j in range(len(sets)) if i != j) for i in range(len(sets))}
+    assert {r["doc"]: r["links"] for r in rows} == wanted and max(wanted.values()) > 30
+    first = {}
+    for r in sorted(rows):
+        first.setdefault(r["cid"], r["doc"])
+    first.pop(None)
+    pairs = [tuple(sorted((first[r["a"]], first[r["b"]]))) for r in ngram_join.linked_classes(df, n=3, percent=80).collect()]
+    kinds = sorted(first.values())
+    assert sorted(pairs) == [(i, j) for i in kinds for j in kinds if i < j and near(sets[i], sets[j])]
