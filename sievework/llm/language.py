@@ -64,7 +64,7 @@ class LanguageModel:
 
 
 def train_language(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = 2000, smooth: float = 0.1) -> LanguageModel:
-    """A model from at most ``rows`` rows of each language, those whose text's hash comes first.
+    """A model from at most ``rows`` texts of each language, those whose hash comes first; copies count once.
 
     Null or empty texts and languages are left out. Rows are counted on the
     executors; the driver gets the sums, whose size doesn't depend on the data.
@@ -76,11 +76,11 @@ def train_language(df: DataFrame, text: str = "text", lang: str = "lang", rows:
     kinds = sorted(r["lang"] for r in own.select("lang").distinct().collect())
     if not kinds:
         return LanguageModel([UND], np.full((1, BUCKETS), -np.log(BUCKETS)))
-    # The draw that the last of a language's rows has; rows up to it are read again with their texts.
-    first = [own.where(F.col("lang") == k).select("lang", "draw").orderBy("draw").limit(rows) for k in kinds]
+    # The draw that the last of a language's texts has; texts up to it are read again, one row each.
+    first = [own.where(F.col("lang") == k).select("lang", "draw").distinct().orderBy("draw").limit(rows) for k in kinds]
     bars = {r["lang"]: r["bar"] for r in reduce(DataFrame.unionAll, first).groupBy("lang").agg(F.max("draw").alias("bar")).collect()}
     bar = F.element_at(F.create_map(*[F.lit(x) for k, b in bars.items() for x in (k, b)]), F.col("lang"))
-    drawn = own.where(F.col("draw") <= bar).select("lang", "text")
+    drawn = own.where(F.col("draw") <= bar).dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def run(batches):
         sums = {}

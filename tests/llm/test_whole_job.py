@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_brute_force import shingles
 
-from sievework.llm import license_scan, ngram_join, secret_scan
+from sievework.llm import language, license_scan, ngram_join, secret_scan
 
 NOISE = "kJ8sQ2vXw7PjR4tLm9YcB1nHsZk5"
 DOCS = "doc_id bigint, text string"
@@ -91,3 +91,11 @@ def test_join_returns_all_links(spark, monkeypatch, block):
     pairs = [tuple(sorted((first[r["a"]], first[r["b"]]))) for r in ngram_join.linked_classes(df, n=3, percent=80).collect()]
     kinds = sorted(first.values())
     assert sorted(pairs) == [(i, j) for i in kinds for j in kinds if i < j and near(sets[i], sets[j])]
+
+
+def test_copies_take_no_place_in_training(spark):
+    texts = [" ".join(w) for w in np.random.default_rng(4).choice(["le", "chat", "noir", "dort", "ici", "bien"], (20, 8))]
+    plain = spark.createDataFrame([("fr", t) for t in texts], "lang string, text string")
+    copied = plain.unionByName(spark.createDataFrame([("fr", t) for t in texts for _ in range(30)], plain.schema))
+    one, two = (language.train_language(df, rows=5) for df in (plain, copied))
+    assert all(np.array_equal(getattr(one, f), getattr(two, f)) for f in one.__dataclass_fields__)
