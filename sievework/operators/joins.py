@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.text import has_term, normalized
 
 
+#: Up to so many words that terms begin with are looked for before runs are formed.
+_FIRST_WORDS = 2000
+
+
 def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first by ``order``: what a lookup keeps when keys repeat."""
     rest = [c for c in df.columns if c not in keys]
@@ -58,20 +62,22 @@ def narrow(df: DataFrame, group: list[str], hits: Iterable[Column]) -> DataFrame
 def term_matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term: str, key: str | None = None, longest: int = 8) -> DataFrame:
     """Pairs of a text and a term that it contains between word borders.
 
-    Texts and terms are compared in normal form. Each run of up to ``longest``
-    words meets the terms by an equi-join; the rare terms with more words are
-    looked for in the texts that hold their first ``longest`` words. With ``key``,
-    both sides must agree in that column.
+    Texts and terms are compared in normal form. Runs of up to ``longest`` words meet
+    the terms by an equi-join; the rare terms with more words are looked for in the
+    texts that hold their first ``longest`` words. Where the terms begin with few
+    words, ``_FIRST_WORDS`` at most, only runs that begin with one of them are formed.
+    With ``key``, both sides must agree in that column.
     """
     keys = [key] if key else []
     words = texts.select(text_id, *keys, F.split(normalized(text), " ").alias("_words")).where(F.size("_words") > 0)
-    sizes = F.sequence(F.lit(1), F.lit(longest))
-    runs = F.flatten(
-        F.transform(sizes, lambda n: F.when(n <= F.size("_words"), F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>")))
-    )
-    asked = words.select(text_id, *keys, F.explode(F.array_distinct(runs)).alias("_run"))
     known = terms.withColumn("_term", normalized(term)).where("_term <> ''").withColumn("_size", F.size(F.split("_term", " ")))
     known = known.withColumn("_run", F.array_join(F.slice(F.split("_term", " "), 1, longest), " "))
+    firsts = [r[0] for r in known.select(F.substring_index("_term", " ", 1)).distinct().limit(_FIRST_WORDS + 1).collect()]
+    begins = (lambda w: w.isin(*firsts)) if len(firsts) <= _FIRST_WORDS else (lambda w: F.lit(True))
+    places = F.filter(F.transform("_words", lambda w, i: F.when(begins(w), i + 1)), lambda i: i.isNotNull())
+    found = words.withColumn("_places", places).where(F.size("_places") > 0)
+    runs = F.flatten(F.transform("_places", lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice("_words", i, n), " "))))
+    asked = found.select(text_id, *keys, F.explode(F.array_distinct(runs)).alias("_run"))
     short = asked.join(known.where(F.col("_size") <= longest), [*keys, "_run"])
     # Only for terms of more words are the whole texts looked at again.
     long = asked.join(known.where(F.col("_size") > longest), [*keys, "_run"]).join(words.select(text_id, "_words"), text_id)
@@ -130,15 +136,20 @@ def must_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return joined.where(F.coalesce(F.col("_there"), F.raise_error(message).cast("boolean"))).drop("_there")
 
 
+def _digest(key: Column) -> Column:
+    return F.unhex(F.sha2(key.cast("string"), 256))
+
+
 def leaked(test: DataFrame, train: DataFrame, key: Column) -> DataFrame:
-    """Rows of ``test`` whose key also occurs in ``train``."""
-    seen = train.select(key.alias("_key")).distinct()
-    return test.withColumn("_key", key).join(seen, "_key", "left_semi").drop("_key")
+    """Rows of ``test`` whose key also occurs in ``train``. Digests are compared, so long keys don't travel; a null key never leaks."""
+    seen = train.select(_digest(key).alias("_key")).distinct()
+    return test.withColumn("_key", _digest(key)).join(seen, "_key", "left_semi").drop("_key")
 
 
 def without_leaks(test: DataFrame, train: DataFrame, key: Column) -> DataFrame:
-    seen = train.select(key.alias("_key")).distinct()
-    return test.withColumn("_key", key).join(seen, "_key", "left_anti").drop("_key")
+    """The other rows of ``test``."""
+    seen = train.select(_digest(key).alias("_key")).distinct()
+    return test.withColumn("_key", _digest(key)).join(seen, "_key", "left_anti").drop("_key")
 
 
 def with_responses(items: DataFrame, responses: DataFrame, key: str = "item_id") -> DataFrame:

@@ -85,7 +85,7 @@ def guarded_cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup.cosine_pairs(_t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35)
+    got = dedup.cosine_pairs(_t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35, top=None)
     return got.select("label", "a", "b", F.round("cosine", 5).alias("cosine"))
 
 
