@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -109,10 +109,13 @@ def slice_balance(scores: DataFrame, by: str = "slice") -> DataFrame:
     return scores.groupBy(by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
 
 
-def survey(df: DataFrame, value: str, pattern: Column) -> DataFrame:
-    """For each pattern the distinct values and rows, and some values in order."""
+def survey(df: DataFrame, value: str, pattern: Column, examples: int = 5) -> DataFrame:
+    """For each pattern the distinct values and rows, and its first values in order."""
     seen = df.groupBy(F.col(value).alias("_v"), pattern.alias("pattern")).agg(F.count("*").alias("_n"))
-    return seen.groupBy("pattern").agg(F.count("*").alias("n_values"), F.sum("_n").alias("n_rows"), F.slice(F.array_sort(F.collect_set("_v")), 1, 5).alias("examples"))
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy("_v"))
+    first = seen.withColumn("_place", place).where(F.col("_place") <= examples).groupBy(F.col("pattern").alias("_p")).agg(F.array_sort(F.collect_list("_v")).alias("examples"))
+    totals = seen.groupBy("pattern").agg(F.count("*").alias("n_values"), F.sum("_n").alias("n_rows"))
+    return totals.join(first, F.col("pattern").eqNullSafe(F.col("_p")), "left").drop("_p")
 
 
 def unmapped(observed: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,10 +124,19 @@ def unmapped(observed: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFr
 
 
 def transcription_check(listed: DataFrame, name: str, text: DataFrame, body: str) -> DataFrame:
-    """Which listed names occur in a text, letters and digits only: (name, found)."""
+    """Which listed names occur in a text, letters and digits only: (name, found).
+
+    Names meet texts by their first characters, four at most, in an equi-join, and are
+    then looked for whole. A name without a letter or digit is found where there is a text.
+    """
     bare = lambda c: F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]", "")
-    whole = text.agg(F.array_join(F.array_sort(F.collect_list(bare(body))), " ").alias("_all"))
-    return listed.join(whole, F.lit(True)).select(name, F.contains("_all", bare(name)).alias("found"))
+    names = listed.select(bare(name).alias("_name")).distinct().withColumn("_start", F.substring("_name", 1, 4))
+    bodies = text.select(bare(body).alias("_body"))
+    places = F.when(F.length("_body") > 0, F.sequence(F.lit(1), F.length("_body"))).otherwise(F.array().cast("array<int>"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(places, lambda i: F.substr("_body", i, n))))
+    met = bodies.select("_body", F.explode(F.array_distinct(F.concat(starts, F.array(F.lit(""))))).alias("_start")).join(names, "_start")
+    found = met.where(F.contains("_body", F.col("_name"))).select("_name").distinct().withColumn("_found", F.lit(True))
+    return listed.withColumn("_name", bare(name)).join(found, "_name", "left").select(name, F.coalesce("_found", F.lit(False)).alias("found"))
 
 
 def unaccounted(aligned: DataFrame) -> DataFrame:
@@ -134,8 +146,6 @@ def unaccounted(aligned: DataFrame) -> DataFrame:
 
 def stratified(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
     """``k`` rows of each group, evenly spread over its order."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group)
     tile = F.ntile(k).over(w.orderBy(*order))
     marked = df.withColumn("_t", tile)
