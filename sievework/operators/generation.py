@@ -111,19 +111,34 @@ def gold_option(row: str = "") -> Column:
     )
 
 
-def gold_records(rows: DataFrame) -> DataFrame:
-    """Gold answers for label rows with their ``canonical``: the row's option; escalated if any row of the triple leaves the period unknown."""
+def _disease(crop: Column, canonical: Column) -> Column:
+    """Whether the domain's list has a target of that name as a disease, on the crop or, if the crop lacks it, on any."""
+    kinds = {(c, name): kind for c, targets in domain.TARGETS.items() for name, kind, _ in targets}
+    table = F.create_map(*[F.lit(x) for (c, name), kind in kinds.items() for x in (f"{c}|{name}", kind)])
+    anywhere = sorted({name for (_, name), kind in kinds.items() if kind == "disease"})
+    return F.coalesce(F.try_element_at(table, F.concat_ws("|", crop, canonical)) == "disease", canonical.isin(*anywhere))
+
+
+def gold_records(rows: DataFrame, practices: DataFrame | None = None) -> DataFrame:
+    """Gold answers for label rows with their ``canonical``: the row's option; escalated if any row of the triple leaves the period unknown.
+
+    ``practices`` is (crop_slug, canonical, non_chemical array<string>, evidence), one
+    row for each target; a target that it lacks has no such measures and no evidence.
+    """
     triple = Window.partitionBy("crop_slug", "canonical", "ai_set")
     unknown = F.bool_or(F.col("phi_days").isNull() & ~F.coalesce("phi_not_applicable", F.lit(False))).over(triple)
-    kind = F.when(F.col("canonical").isin("Downy mildew", "Powdery mildew", "Anthracnose", "Wilt"), "disease").otherwise("pest")
-    evidence = F.concat(F.lit("The described damage pattern matches "), F.col("canonical"), F.lit(" on "), F.col("crop_slug"), F.lit("."))
-    cause = F.struct(F.col("canonical").alias("name"), kind.alias("type"), F.lit(0.9).alias("confidence"), evidence.alias("evidence"))
+    if practices is None:
+        known = rows.withColumns({"_measures": F.array().cast("array<string>"), "_evidence": F.lit("")})
+    else:
+        known = rows.join(practices.select("crop_slug", "canonical", F.col("non_chemical").alias("_measures"), F.col("evidence").alias("_evidence")), ["crop_slug", "canonical"], "left")
+    kind = F.when(_disease(F.col("crop_slug"), F.col("canonical")), "disease").otherwise("pest")
+    cause = F.struct(F.col("canonical").alias("name"), kind.alias("type"), F.lit(0.9).alias("confidence"), F.coalesce("_evidence", F.lit("")).alias("evidence"))
     gold = F.struct(
         F.lit(True).alias("in_scope"), F.lit(True).alias("query_understood"), F.lit(None).cast("string").alias("clarifying_question"), F.array(cause).alias("likely_causes"),
-        F.array(F.lit("Remove and destroy affected plant parts."), F.lit("Monitor with traps before spraying.")).alias("non_chemical_first"), F.array(gold_option()).alias("chemical_options"),
+        F.coalesce("_measures", F.array().cast("array<string>")).alias("non_chemical_first"), F.array(gold_option()).alias("chemical_options"),
         F.array(F.lit("Wear protective equipment.")).alias("safety"), unknown.alias("escalate_to_expert"),
     )
-    return rows.withColumn("gold", gold)
+    return known.withColumn("gold", gold).drop("_measures", "_evidence")
 
 
 def difficulty(record: Column) -> Column:

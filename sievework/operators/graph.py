@@ -30,11 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and go on from there.
 
     A table read again carries neither the plan nor what Spark had inferred of it,
-    which grows with each round of an iteration, and its size is known.
+    which grows with each round of an iteration, and its size is known. Row groups are
+    small, as readers hold up to one of them at once however long its rows are.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievework-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -124,6 +124,14 @@ def contradictions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CONTRADICTIONS, "group_id string, source_file string, source_page string, source_row_index string, crop_slug string, active_ingredient string, reason string")
 
 
+#: What is done without chemicals, and what the damage looks like: crop, pest, measures, evidence.
+PRACTICES = [("cotton", "Jassid", ["yellow traps", "resistant seed"], "leaf edges curl"), ("grape", "Downy mildew", ["prune"], "white growth under the leaves")]
+
+
+def practices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PRACTICES, "crop_slug string, canonical string, non_chemical array<string>, evidence string")
+
+
 def labels(spark: SparkSession) -> Labels:
     return prepared_labels(label_rows(spark), synonyms(spark), restrictions(spark), contradictions(spark))
 

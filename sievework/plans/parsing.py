@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, names
+from ..functions import cells, domain, names
 from ..functions.dose import with_parsed_dose
 from ..functions.records import with_checked_record
 from ..operators import generation, guard, retrieval, verification
@@ -77,8 +77,9 @@ def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold answers of the label facts pass the gate themselves."""
     lab = X.labels(spark)
     rows = lab.pests.join(lab.rows.where("trainable and not defective and contradiction is null"), "label_idx").where("dose_formulation_branch = 'numeric'")
-    gold = generation.gold_records(rows).withColumn("item_id", F.concat_ws(":", "label_idx", "canonical"))
-    return gold.select("item_id", "gold.escalate_to_expert", generation.difficulty(F.col("gold")).alias("difficulty"))
+    gold = generation.gold_records(rows, X.practices(spark)).withColumn("item_id", F.concat_ws(":", "label_idx", "canonical"))
+    cause = F.col("gold.likely_causes")[0]
+    return gold.select("item_id", "gold.escalate_to_expert", generation.difficulty(F.col("gold")).alias("difficulty"), cause["type"].alias("type"), cause["evidence"].alias("evidence"), F.array_join("gold.non_chemical_first", ";").alias("measures"))
 
 
 def generation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,19 @@ def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (dose_parse, phi_parse, crop_map, pest_split, ingredient_keys, method_extract, verify_score, verify_gate, verify_filter, guard_answers, retrieve_sheets, record_checks, gold_records, generation_rounds, candidate_order)}
 
+#: What the label cells of the fixtures say: row, crop, ingredients, days to wait, none applies, defective, contradicted, product dose from and to; and the pests that they name.
+_FACTS = [
+    (1, "cotton", "imidacloprid", 40, False, False, False, 100.0, 125.0), (2, "cotton", "acephate", 15, False, False, False, 390.0, None), (3, "cotton", "clothianidin", 20, False, False, False, 30.0, 40.0),
+    (4, "cotton", "clothianidin", 76, False, False, False, 200.0, 250.0), (5, "cotton", "imidacloprid", None, True, False, False, 5.0, 9.0), (6, "tomato", "chlorantraniliprole", 3, False, False, False, 150.0, None),
+    (7, "tomato", "monocrotophos", None, False, False, False, 1500.0, None), (8, "tomato", "azadirachtin", None, False, False, False, 1000.0, None), (9, "grape", "mancozeb;metalaxyl", 66, False, False, False, 2500.0, None),
+    (10, "grape", "azoxystrobin", 7, False, False, False, 500.0, None), (11, "grape", "azoxystrobin", 7, False, False, True, 400.0, None), (12, "gram", "carbendazim", None, True, True, False, 2.0, None),
+]
+_NAMED = {"Jassid": (1, 2, 3, 4, 5), "Aphid": (1,), "Helicoverpa armigera": (6, 7, 8), "Downy mildew": (9, 10, 11), "Powdery mildew": (10,), "Wilt": (12,)}
+_facts = X.values_sql(_FACTS, ["label_idx", "crop_slug", "ai", "phi", "na", "defective", "contradicted", "low", "high"], ["BIGINT", "VARCHAR", "VARCHAR", "INTEGER", "BOOLEAN", "BOOLEAN", "BOOLEAN", "DOUBLE", "DOUBLE"])
+_named = X.values_sql([(i, p) for p, rows in _NAMED.items() for i in rows], ["label_idx", "canonical"], ["BIGINT", "VARCHAR"])
+_practices = X.values_sql([(c, p, ";".join(m), e) for c, p, m, e in X.PRACTICES], ["crop_slug", "canonical", "measures", "evidence"], ["VARCHAR"] * 4)
+_diseases = ", ".join(f"'{n}'" for n in sorted({n for targets in domain.TARGETS.values() for n, kind, _ in targets if kind == "disease"}))
+
 _ambiguous = {"two_uses": "C1_dose;C2_phi"}
 _gate_passes = ("good", "kilo", "refused", "drench", "seed")
 _valid = [a for a in X.ANSWERS if a[0] not in ("not_json", "not_valid")]
@@ -114,6 +128,15 @@ SQL = {
     "verify_filter": X.values_sql([(a[0], a[0] in ("good", "kilo", "over_escalated", "wrong_cause", "refused", "drench", "seed")) for a in X.ANSWERS], ["item_id", "passed"], ["VARCHAR", "BOOLEAN"]),
     "guard_answers": X.values_sql([(r[0], ";".join(r[3])) for r in X.RESPONSES], ["item_id", "actions"], ["VARCHAR", "VARCHAR"]),
     "record_checks": X.values_sql([(a[0], a[0] != "not_json", a in _valid, 2 if a[0] == "not_valid" else 0) for a in X.ANSWERS], ["item_id", "is_json", "is_valid", "n_errors"], ["VARCHAR", "BOOLEAN", "BOOLEAN", "INTEGER"]),
+    "gold_records": f"""WITH r AS (SELECT * FROM ({_facts}) JOIN ({_named}) USING (label_idx) WHERE NOT defective AND NOT contradicted),
+u AS (SELECT *, bool_or(phi IS NULL AND NOT na) OVER (PARTITION BY crop_slug, canonical, ai) AS unknown FROM r)
+SELECT label_idx || ':' || canonical AS item_id, unknown AS escalate_to_expert, CASE WHEN unknown AND phi IS NULL AND NOT na THEN 'edge_case' WHEN high IS NOT NULL AND high <> low THEN 'hard' ELSE 'standard' END AS difficulty,
+CASE WHEN canonical IN ({_diseases}) THEN 'disease' ELSE 'pest' END AS type, coalesce(evidence, '') AS evidence, coalesce(measures, '') AS measures FROM u LEFT JOIN ({_practices}) USING (crop_slug, canonical)""",
+    "candidate_order": f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY label_idx) AS named FROM ({_facts}) JOIN ({_named}) USING (label_idx)),
+k AS (SELECT *, row_number() OVER (PARTITION BY crop_slug, canonical ORDER BY phi IS NULL, named > 1, sha256('7|' || label_idx), label_idx) AS rank FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY crop_slug, canonical, ai ORDER BY rank) AS n FROM k),
+q AS (SELECT *, row_number() OVER (PARTITION BY crop_slug, canonical ORDER BY rank) AS q FROM o WHERE n = 1)
+SELECT crop_slug, canonical, label_idx, CAST(rank AS INTEGER) AS rank FROM q WHERE q <= 2""",
     "generation_rounds": """
 WITH d AS (SELECT sha256('S1_' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
 b AS (SELECT list_reduce(list_prepend(0, list_transform(string_split(h, ''), lambda c: strpos('0123456789abcdef', c) - 1)), lambda a, x: (a * 16 + x) % 100) AS b FROM d)
