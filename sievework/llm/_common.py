@@ -6,18 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut
+from ..operators.graph import components, cut, discard
 from ..session import ready
 
-__all__ = ["components", "cut", "ready", "small", "without_ids", "word_hashes", "shingles", "mix", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_KEYS"]
+__all__ = ["components", "cut", "discard", "ready", "small", "without_ids", "word_hashes", "shingles", "mix", "power_tables", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_BYTES"]
 
-#: Up to so many keys are broadcast: 32 MB. Beyond that rows are shuffled to them.
-BROADCAST_KEYS = 2_000_000
+#: What is broadcast has at most so many bytes. Beyond that rows are shuffled to it.
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A frame that is cut off already, marked for broadcast if its rows are few enough; else Spark shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    """A frame that is cut off already, marked for broadcast if its rows, all of fixed width, have few enough bytes; else Spark shuffles."""
+    width = 8 * (1 + len(df.columns))
+    fixed = all(kind in ("bigint", "int", "double", "boolean") for _, kind in df.dtypes)
+    return F.broadcast(df) if fixed and df.count() * width <= BROADCAST_BYTES else df
 
 
 def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -42,7 +44,8 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd base, and of its inverse, modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
         tables = []
@@ -72,7 +75,7 @@ def _hash_piece(raw: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start, end = edges[::2], edges[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start, end
-    power, inverse = _power_tables(n + 1)
+    power, inverse = power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     sums = total[1:]
     np.take(_BYTE, raw, out=sums)

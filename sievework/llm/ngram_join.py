@@ -8,13 +8,13 @@ document picks the l with the least estimated cost, from the sketched lengths of
 the posting lists: postings read, and candidates to verify. Two documents are
 compared under the smaller l of the two.
 
-Equal sets are one class. First every class is verified against two pivots of each
-posting list; the links found give components. A list whose classes are all in
-one component is done, so a large group of near copies costs as much as it has
-members. In the others, only pairs across components are left. Their sizes give
-the exact overlap that the two need, and so the shorter prefixes in which they must
-share l shingles; pairs that do are verified. All links between components are
-found this way, without ever forming all pairs inside one.
+Equal sets are one class. Sizes and places in two prefixes tell whether a shared
+shingle lies within the prefixes that just these two need; what doesn't is no
+candidate. Classes of short posting lists are paired, and pairs that share l shingles
+are verified. Long lists are split by size. The classes of those that stay long are
+united to groups, which are dealt into blocks of bounded size; each two blocks meet
+once, and of the links found there only those leave that join what wasn't joined
+yet. So a large group of near copies never makes a row a pair.
 
 All links are inside the components then. They are found there by exact overlaps:
 a component's classes are dealt into blocks of bounded size, and each two blocks
@@ -23,6 +23,7 @@ meet once. Counts of links are summed inside a block, so they make no row a pair
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -30,15 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, as_bytes, components, cut, ready, shingles, small, without_ids, word_hashes
+from ._common import SPACES, as_bytes, components, cut, discard, ready, shingles, small, without_ids, word_hashes
 
 #: Counters of the sketch, whose size doesn't depend on the data: 16 MB on each side.
 SKETCH_BITS = 22
 _CHUNK = 1 << 16
 MAX_MATCHES = 4
 _VERIFY_COST = 16.0
-#: Lists with more rows get a second round of pivots.
-LONG_LIST = 8
+#: Lists with more rows are split by size; if that doesn't make them shorter, their classes meet in blocks.
+LONG_LIST = 32
+#: So many classes at most meet a copy of one class's set.
+_GROUP = 256
+#: So many tasks' counts are added to one partial sum.
+_FAN = 1024
+_ROW = "_sw_row_number"
 #: About so many shingles make a block: 2 MB.
 BLOCK_SHINGLES = 1 << 18
 
@@ -52,12 +58,19 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, n: int) -> np.ndarray:
-    """How many documents have a shingle in each slot. Partial sums are added in one stream for each chunk of slots."""
+    """How many documents have a shingle in each slot. Tasks' counts are added in two steps, of up to ``_FAN`` tasks and of those sums."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
     ready(df.sparkSession)
     chunks = (1 << SKETCH_BITS) // _CHUNK
 
+    def packed(part, sums):
+        # Most counts of a task are 0 or 1, so they pack well.
+        raw = [zlib.compress(np.minimum(s, (1 << 32) - 1).astype("<u4").tobytes(), 1) for s in sums.values()]
+        columns = [pa.array([part] * len(raw), pa.int32()), pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "counts"])
+
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
@@ -68,25 +81,21 @@ def sketch(df: DataFrame, n: int) -> np.ndarray:
                 else:
                     np.add.at(total, s, 1)
         if total.any():
-            yield packed({i: total[i * _CHUNK : (i + 1) * _CHUNK] for i in range(chunks)})
-
-    def packed(sums):
-        # Most counts of a partition are 0 or 1, so they pack well.
-        raw = [zlib.compress(np.minimum(part, (1 << 32) - 1).astype("<u4").tobytes(), 1) for part in sums.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(raw, pa.binary())], names=["chunk", "counts"])
+            yield packed(TaskContext.get().partitionId() // _FAN, {i: total[i * _CHUNK : (i + 1) * _CHUNK] for i in range(chunks)})
 
     def add(batches):
         sums = {}
         for batch in batches:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64)
-                sums[c] = sums[c] + part if c in sums else part
-        for c, part in sums.items():
-            yield packed({c: part})
-
-    schema = "chunk int, counts binary"
+            for key, c, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64)
+                sums[key, c] = sums[key, c] + own if (key, c) in sums else own
+        for (key, c), own in sums.items():
+            yield packed(key, {c: own})
+
+    schema = "part int, chunk int, counts binary"
+    parts = df.mapInArrow(count, schema).repartition("part", "chunk").mapInArrow(add, schema)
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    for r in df.mapInArrow(count, schema).repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
+    for r in parts.withColumn("part", F.lit(0)).repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u4")
     return out
 
@@ -135,7 +144,7 @@ def _read(df: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, key, size, cid, level, tokens) of the rows (id, key, text).
 
     The class of an empty set is null. ``tokens`` is the prefix, given once a task
-    for each class, else null.
+    for each class that is large enough to link with one of another size, else null.
     """
     import pyarrow as pa
 
@@ -150,7 +159,7 @@ def _read(df: DataFrame, n: int, percent: int) -> DataFrame:
             for data in as_bytes(batch.column(2)):
                 s = shingle_set(data, n)
                 cid = _cid(s) if len(s) else None
-                new = cid is not None and cid not in seen
+                new = cid is not None and 100 * len(s) >= percent * (len(s) + 1) and cid not in seen
                 seen.add(cid)
                 level, prefix = prefix_of(s, counts, noise, percent) if new else (0, None)
                 sizes.append(len(s))
@@ -166,8 +175,8 @@ def _read(df: DataFrame, n: int, percent: int) -> DataFrame:
     return df.select("id", "key", "text").mapInArrow(run, f"id {kind}, key bigint, size bigint, cid bigint, level int, tokens array<bigint>")
 
 
-def _sets(df: DataFrame, n: int) -> DataFrame:
-    """(cid, shingles) of the rows' texts, once a task for each class."""
+def _sets(wanted: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(cid, shingles) of the classes ``wanted`` (cid, key), written once."""
     import pyarrow as pa
 
     def run(batches):
@@ -184,21 +193,39 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), lists], names=["cid", "shingles"])
 
-    return df.select("text").mapInArrow(run, "cid bigint, shingles array<bigint>")
+    keys = small(cut(wanted.select("key").distinct()))  # so the texts aren't shuffled
+    sets = cut(rows.join(keys, "key", "left_semi").select("text").mapInArrow(run, "cid bigint, shingles array<bigint>"))
+    # A class comes from several tasks if rows have one id, and one that wasn't asked for if their texts differ.
+    if sets.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return sets
+    once = cut(sets.dropDuplicates(["cid"]))
+    discard(sets, shuffled=False)
+    return once
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold; the texts of their classes are read once more."""
-    size = small(classes.select("cid", "size"))
-    sized = pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
-    fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    pairs = cut(sized.where(fit).select("a", "b"))
-    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    keys = small(cut(classes.join(asked, "cid", "left_semi").select("key")))  # so the texts aren't shuffled
-    sets = cut(_sets(rows.join(keys, "key", "left_semi"), n))
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    return cut(both.where(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b").distinct())
+    """The ``pairs`` (a, b) of classes, cut off already, whose sets reach the threshold.
+
+    The texts of their classes are read once more. Of a pair, the class that is in
+    more pairs is the pivot. Its set is sent once to each group of up to about
+    ``_GROUP`` others, whose sets are sent to it.
+    """
+    degree = cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n")))
+    sets = _sets(classes.join(degree, "cid", "left_semi"), rows, n)
+    both = pairs.join(degree.toDF("a", "n_a"), "a").join(degree.toDF("b", "n_b"), "b")
+    pivot = F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+    parts = F.ceil(F.greatest("n_a", "n_b") / _GROUP).cast("int")
+    met = both.select(pivot.alias("pivot"), F.when(pivot == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), parts.alias("parts"))
+    met = cut(met.withColumn("part", F.expr("cast(pmod(xxhash64(member), parts) as int)")))
+    pivots = cut(met.groupBy("pivot").agg(F.max("parts").alias("parts")))
+    left = sets.toDF("pivot", "mine").join(small(pivots), "pivot").select("pivot", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "mine")
+    right = sets.toDF("member", "theirs").join(small(met.drop("parts")), "member")
+    shared = F.size(F.array_intersect("mine", "theirs"))
+    enough = 100 * shared >= percent * (F.size("mine") + F.size("theirs") - shared)
+    out = cut(left.join(right, ["pivot", "part"]).where(enough).select(*_ordered(F.col("pivot"), F.col("member"))))
+    del left, right, both
+    discard(degree, sets, met, pivots)
+    return out
 
 
 def _ordered(a, b) -> list:
@@ -227,71 +254,66 @@ def _postings(found: DataFrame, percent: int) -> DataFrame:
     return each.selectExpr("token", "cid", f"{_TAG} as tag")
 
 
-def _untagged(df: DataFrame) -> DataFrame:
-    return df.withColumns({k: F.expr(v) for k, v in _UNTAG.items()}).drop("tag")
+def _untagged(df: DataFrame, tag: str = "tag", prefix: str = "") -> DataFrame:
+    return df.withColumns({prefix + k: F.expr(v.replace("tag", tag)) for k, v in _UNTAG.items()}).drop(tag)
 
 
-def _open_lists(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Each row's component and whether that is its list's pivot's, for lists that aren't all in one component."""
-    label = small(cut(components(links).toDF("cid", "label")))
-    named = rows.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = named.join(label.toDF("low", "home"), "low", "left").withColumn("home", F.coalesce("home", "low"))
-    named = named.withColumn("is_home", F.col("label") == F.col("home")).drop("home")
-    tokens = small(cut(named.where("not is_home").select("token").distinct()))
-    return cut(named.join(tokens, "token", "left_semi"))
+def _fits(percent: int) -> str:
+    """SQL: may the classes of two places of a token reach the threshold, and is the token in the prefixes that these two sizes need?"""
+    need = _overlap("size", "i_size", percent)
+    least = f"{need} <= least(size, i_size) - int(size = i_size)"
+    return f"{least} and pos < size - {need} + least(level, i_level) and i_pos < i_size - {need} + least(level, i_level)"
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of the rows (cid, i_cid, token, level, i_level) that share as many tokens as the smaller level asks for."""
+    once = met.select(*_ordered(F.col("cid"), F.col("i_cid")), "token", F.least("level", "i_level").alias("level")).distinct()
+    return once.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("level").alias("level")).where("n >= level").select("a", "b")
 
 
 def class_links(found: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
     postings = _postings(found, percent)
-    # Pivots are taken from those who are an index: what they share comes early, so they are central.
-    index = F.when(F.expr("(tag & 1) = 1"), F.col("cid"))
-    lists = postings.groupBy("token").agg(F.min(index).alias("low"), F.max(index).alias("high"), F.count("*").alias("n_rows"))
-    lists = cut(lists.where("n_rows > 1 and low is not null"))
-    shared = cut(postings.join(lists, "token").withColumn("is_long", F.col("n_rows") > LONG_LIST).drop("n_rows"))
-
-    # At first each class meets the least and the greatest pivot of its lists.
-    ends = shared.groupBy("cid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    pivots = [ends.where(F.col("cid") != F.col(p)).select(*_ordered(F.col("cid"), F.col(p))) for p in ("low", "high")]
-    tried = cut(pivots[0].union(pivots[1]).distinct())
-    links = _verified(tried, rows, classes, n, percent)
-    shared = shared.drop("high")
-    left = _open_lists(shared, links)
-
-    # Then, in long lists, those who aren't in their pivot's component meet it themselves.
-    strays = left.where("not is_home and is_long").select(*_ordered(F.col("cid"), F.col("low"))).distinct()
-    strays = cut(strays.join(tried, ["a", "b"], "left_anti"))
-    if not strays.isEmpty():
-        tried = cut(tried.union(strays))
-        links = cut(links.union(_verified(strays, rows, classes, n, percent)))
-        left = _open_lists(left.drop("label", "is_home"), links)
-
-    level, need = "least(level, i_level)", _overlap("size", "i_size", percent)
-    fits = f"100 * least(size, i_size) >= {percent} * greatest(size, i_size) and pos < size - {need} + {level} and i_pos < i_size - {need} + {level}"
-    other = lambda df, *more: df.select("token", *[F.col(c).alias(f"i_{c}") for c in ("cid", "pos", "size", "level", *more)])
-
-    # A pair across components has a member that isn't in the component of the list's pivot. It
-    # is made once, at the first shingle that its prefixes share, if they share l in all.
-    left = _untagged(left)
-    places = left.groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("p"))
-    places = places.select("cid", F.transform("p", lambda x: x["token"]).alias("toks"), F.transform("p", lambda x: x["pos"]).alias("spots"))
-    held = cut(left.distinct().join(small(cut(places)), "cid").withColumn("rank", F.array_position("toks", F.col("token")).cast("int")))
-    smaller = other(held.where("role"), "label", "is_home", "toks", "spots", "rank")
-    prefix = lambda i, size: f"slice({i}toks, 1, size(filter({i}spots, p -> p < {size} - {need} + {level})))"
-    across = F.expr(
-        f"label <> i_label and (size > i_size or size = i_size and cid > i_cid) and {fits}"
-        f" and not arrays_overlap(slice(toks, 1, rank - 1), slice(i_toks, 1, i_rank - 1))"
-        f" and size(array_intersect({prefix('', 'size')}, {prefix('i_', 'i_size')})) >= {level}"
-    )
-    met = held.where("not is_home").join(smaller, "token").where(across).union(held.where("is_home").join(smaller.where("not i_is_home"), "token").where(across))
-    pairs = cut(met.select(*_ordered(F.col("cid"), F.col("i_cid"))).distinct().join(tried, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return links
-    return links.union(_verified(pairs, rows, classes, n, percent))
+    tokens = cut(postings.groupBy("token").agg(F.count("*").alias("n_rows")).where("n_rows > 1"))
+    shared = cut(postings.join(tokens, "token"))
+    discard(tokens)
+
+    # Long lists are split by classes of size: sizes that may link are in the same or the next one, where the smaller of the two is an index.
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    long = _untagged(shared.where(F.col("n_rows") > LONG_LIST).withColumn("own", F.col("tag")), "own").withColumn("bucket", F.floor(F.log("size") / step).cast("int"))
+    cells = long.select("token", F.explode(F.when(F.col("role"), F.array("bucket", F.col("bucket") + 1)).otherwise(F.array("bucket"))).alias("bucket"), "cid", "tag")
+    cells = cut(cells.dropDuplicates(["token", "bucket", "cid"]))
+    sizes = cut(cells.groupBy("token", "bucket").agg(F.count("*").alias("n"), F.min("cid").alias("low")).where("n > 1"))
+    in_cell = cells.join(sizes, ["token", "bucket"])
+
+    # A pair shares tokens in long cells, and meets in a group's blocks, or all that it shares is counted here.
+    short = shared.where(F.col("n_rows") <= LONG_LIST).select("token", F.lit(-1).alias("bucket"), "cid", "tag")
+    short = cut(short.unionByName(in_cell.where(F.col("n") <= LONG_LIST).select("token", "bucket", "cid", "tag")))
+    other = short.select("token", "bucket", F.col("cid").alias("i_cid"), F.col("tag").alias("i_tag"))
+    larger = "((tag >> 8) & 268435455) > ((i_tag >> 8) & 268435455) or ((tag >> 8) & 268435455) = ((i_tag >> 8) & 268435455) and cid > i_cid"
+    met = _untagged(_untagged(short.join(other, ["token", "bucket"]).where(larger)), "i_tag", "i_").where(_fits(percent))
+    pairs = cut(_counted(met))
+    edges = cut(in_cell.where((F.col("n") > LONG_LIST) & (F.col("cid") != F.col("low"))).select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct())
+    del postings, long, in_cell, other, met
+    discard(shared, cells, sizes, short)
+
+    links = _verified(pairs, rows, classes, n, percent)
+    discard(pairs, shuffled=False)
+    if not edges.isEmpty():
+        groups = cut(components(edges).toDF("cid", "label"))
+        blocks = _inside(rows, classes.join(small(groups), "cid"), n)
+        more = cut(links.unionByName(_met(blocks, percent, "forest")))
+        del blocks
+        discard(links, groups)
+        links = more
+    discard(edges, shuffled=False)
+    return links
 
 
 def _meet(mine: list[np.ndarray], others: list[np.ndarray], percent: int, same: bool):
     """(places in ``mine``, place in ``others``) of the sets that reach the threshold; for one block with itself each pair once."""
+    if not mine or not others:
+        return
     tokens = np.concatenate(mine)
     order = np.argsort(tokens, kind="stable")
     sizes = np.array([len(s) for s in mine])
@@ -305,66 +327,97 @@ def _meet(mine: list[np.ndarray], others: list[np.ndarray], percent: int, same:
         yield (hit[hit < y] if same else hit), y
 
 
-def _inside(rows: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(label, i, j, rows, others): each two blocks of each component of several of the classes ``members`` (cid, key, size, docs, label)."""
+def _inside(rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(label, block, blocks, cid, docs, shingles): the classes of each label with several of ``members`` (cid, key, size, docs, label), dealt into blocks."""
     blocks = F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int")
-    several = members.groupBy("label").agg(F.count("*").alias("_n"), blocks.alias("blocks")).where("_n > 1").drop("_n")
-    inside = cut(members.join(small(cut(several)), "label"))
-    keys = small(cut(inside.select("key").distinct()))
-    sets = _sets(rows.join(keys, "key", "left_semi"), n).dropDuplicates(["cid"]).join(inside.select("cid", "docs", "label", "blocks"), "cid")
-    dealt = sets.withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    packed = cut(dealt.groupBy("label", "blocks", "block").agg(F.collect_list(F.struct("cid", "docs", "shingles")).alias("rows")))
-    one = packed.select("label", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "rows")
-    two = packed.select("label", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("others"))
-    return one.join(two, ["label", "i", "j"])
-
-
-def _met(inside: DataFrame, percent: int, counts: bool) -> DataFrame:
-    """(cid, n): how many documents of other classes link with those of a class, in parts; or the links (a, b) themselves."""
-    import pyarrow as pa
+    several = cut(members.groupBy("label").agg(F.count("*").alias("_n"), blocks.alias("blocks")).where("_n > 1").drop("_n"))
+    inside = cut(members.join(small(several), "label").select("cid", "key", "docs", "label", "blocks").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)")))
+    return _sets(inside, rows, n).join(small(inside.drop("key")), "cid")
 
-    def unpacked(block):
-        """(cids, docs, sets) of one list of structs."""
-        cid, docs, lists = block.values.flatten()
-        return cid.to_numpy(), docs.to_numpy(), [x.values.to_numpy() for x in lists]
 
-    def run(batches):
-        for batch in batches:
-            for i, j, rows, others in zip(*(batch.column(k) for k in range(4)), strict=True):
-                same = i.as_py() == j.as_py()
-                a, docs_a, mine = unpacked(rows)
-                b, docs_b, theirs = unpacked(others)
-                left, right = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-                for hit, y in _meet(mine, theirs, percent, same):
-                    if counts:
-                        left[hit] += docs_b[y]
-                        right[y] += docs_a[hit].sum()
-                    elif len(hit):
-                        other = np.full(len(hit), b[y])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[hit], other)), pa.array(np.maximum(a[hit], other))], names=["a", "b"])
-                if counts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([left, right]))], names=["cid", "n"])
-
-    return inside.select("i", "j", "rows", "others").mapInArrow(run, "cid bigint, n bigint" if counts else "a bigint, b bigint")
-
-
-def _joined(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, what is found of each, its classes with their component's label and least id)."""
-    rows = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
+class _Forest:
+    """Which of some classes are joined, and the links that joined them."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def links(self, hit: np.ndarray, y: int) -> np.ndarray:
+        """Of the links between ``hit`` and ``y`` those that join what wasn't joined: one end of each."""
+        labels, first = np.unique(self.label[hit], return_index=True)
+        new = labels != self.label[y]
+        self.label[np.isin(self.label, labels[new])] = self.label[y]
+        return hit[first[new]]
+
+
+def _met(inside: DataFrame, percent: int, kind: str) -> DataFrame:
+    """What the classes of each label have in common, every two compared once; kind is
+
+    * counts: (cid, n), in parts: how many documents of other classes link with those of a class,
+    * links: (a, b), all of them,
+    * forest: (a, b), so many that the components are the same.
+
+    Each two blocks of a label are one group of bounded size, to which their sets are sent.
+    """
+    import pyarrow as pa
+
+    schema = "cid bigint, n bigint" if kind == "counts" else "a bigint, b bigint"
+    names = ["cid", "n"] if kind == "counts" else ["a", "b"]
+
+    def meet(table):
+        side = table.column("side").to_numpy()
+        cids, docs = table.column("cid").to_numpy(), table.column("docs").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        same = table.column("i")[0] == table.column("j")[0]
+        of = [np.flatnonzero(side == k) for k in (0, 0 if same else 1)]
+        (a, b), (docs_a, docs_b) = [cids[k] for k in of], [docs[k] for k in of]
+        left, right = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        forest = _Forest(len(a) if same else len(a) + len(b))
+        one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for hit, y in _meet([sets[k] for k in of[0]], [sets[k] for k in of[1]], percent, same):
+            if kind == "counts":
+                left[hit] += docs_b[y]
+                right[y] += docs_a[hit].sum()
+                continue
+            if kind == "forest":
+                hit = forest.links(hit, y if same else len(a) + y)
+            one.append(np.minimum(a[hit], b[y]))
+            two.append(np.maximum(a[hit], b[y]))
+        columns = [np.concatenate([a, b]), np.concatenate([left, right])] if kind == "counts" else [np.concatenate(one), np.concatenate(two)]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    own = F.col("block")
+    first = F.transform(F.sequence(own, F.col("blocks") - 1), lambda j: place(own, j, 0))
+    second = F.when(own > 0, F.transform(F.sequence(F.lit(0), own - 1), lambda i: place(i, own, 1))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    dealt = inside.select("label", "cid", "docs", "shingles", F.explode(F.concat(first, second)).alias("at")).select("label", "at.i", "at.j", "at.side", "cid", "docs", "shingles")
+    return dealt.groupBy("label", "i", "j").applyInArrow(meet, schema)
+
+
+def _joined(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What is found of each of the rows (id, key, text), and its classes with their component's label and least id."""
     found = cut(_read(rows, n, percent))
     classes = cut(found.where("cid is not null").groupBy("cid").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.max("size").alias("size"), F.count("*").alias("docs")))
     links = class_links(found, rows, classes, n, percent)
-    groups = components(links).toDF("cid", "label")
-    labelled = classes.join(groups, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    groups = cut(components(links).toDF("cid", "label"))
+    labelled = cut(classes.join(small(groups), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    return rows, found, cut(labelled.join(cut(least), "label").select("cid", "key", "size", "docs", "label", "component"))
+    members = cut(labelled.join(least, "label").select("cid", "key", "size", "docs", "label", "component"))
+    del links, least
+    discard(classes, groups, labelled)
+    return found, members
+
+
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, key, text): texts of one class are found again by the key of one of its rows."""
+    rows = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return rows.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
 
 
 def linked_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """All links (a, b) between different sets, a < b, as classes; ``cid`` of ``jaccard_components`` tells the members."""
-    rows, _, members = _joined(df, doc_id, text, n, percent)
-    return _met(_inside(rows, members, n, percent), percent, counts=False)
+    rows = _keyed(df, doc_id, text)
+    _, members = _joined(rows, n, percent)
+    return _met(_inside(rows, members, n), percent, "links")
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -380,19 +433,25 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     number of other rows that the row links with, all of them verified, those with
     an equal set included; ``linked_classes`` lists them.
     """
-    rows, found, members = _joined(df, doc_id, text, n, percent)
-    others = _met(_inside(rows, members, n, percent), percent, counts=True).groupBy("cid").agg(F.sum("n").alias("others"))
+    rows = _keyed(df, doc_id, text)
+    found, members = _joined(rows, n, percent)
+    others = _met(_inside(rows, members, n), percent, "counts").groupBy("cid").agg(F.sum("n").alias("others"))
     labels = cut(members.join(others, "cid", "left").select("cid", "component", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("links")))
     out = found.select("id", "size", "cid").join(labels, "cid", "left")
     return out.select(F.col("id").alias("doc"), "size", "cid", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose id is their component's least, all columns as they are.
+    """One row of ``df`` for each component, that with the least id, all columns as they are.
 
-    Rows without a set all stay, as do rows with a null id. Repeated rows with the
-    id that stays all stay.
+    Known ids go before null ones; of rows with the same id, in repeated rows too, one
+    stays. Rows are told apart by numbers, so a row never goes for another's id. Rows
+    without a shingle all stay.
     """
-    _, found, members = _joined(df, doc_id, text, n, percent)
-    others = found.select("id", "cid").join(members.select("cid", "component"), "cid").where("id <> component")
-    return without_ids(df, doc_id, others.select("id"))
+    numbered = cut(df.withColumn(_ROW, F.monotonically_increasing_id()))
+    rows = numbered.select(F.col(doc_id).cast("bigint").alias("id"), F.col(_ROW).alias("key"), F.col(text).alias("text"))
+    found, members = _joined(rows, n, percent)
+    placed = found.select("id", "key", "cid").join(members.select("cid", "label"), "cid")
+    first = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    gone = placed.join(first, "label").where("key <> first.key").select("key")
+    return without_ids(numbered, _ROW, gone).drop(_ROW)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_brute_force import shingles
 
 from sievework.llm import language, license_scan, ngram_join, secret_scan
@@ -71,10 +72,11 @@ def test_full_texts_however_wrapped(spark):
     assert {"Apache-2.0", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "LGPL-2.1", "LGPL-3.0"} <= set(wanted.values())
 
 
-@pytest.mark.parametrize("block", [1 << 18, 100])
-def test_join_returns_all_links(spark, monkeypatch, block):
-    """A group of near copies, a chain and exact copies against all pairs."""
+@pytest.mark.parametrize("block,long", [(1 << 18, 32), (100, 2), (100, 10_000)])
+def test_join_returns_all_links(spark, monkeypatch, block, long):
+    """A group of near copies, a chain and exact copies against all pairs; in blocks and as pairs."""
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(40)] + [" ".join(base[k:] + [f"y{i}" for i in range(k)]) for k in range(0, 24, 3)]
     texts += [texts[3], texts[3].upper(), "alone here", "", None]
@@ -98,4 +100,40 @@ def test_copies_take_no_place_in_training(spark):
     plain = spark.createDataFrame([("fr", t) for t in texts], "lang string, text string")
     copied = plain.unionByName(spark.createDataFrame([("fr", t) for t in texts for _ in range(30)], plain.schema))
     one, two = (language.train_language(df, rows=5) for df in (plain, copied))
+    assert one.logs.shape[0] == 2
     assert all(np.array_equal(getattr(one, f), getattr(two, f)) for f in one.__dataclass_fields__)
+
+
+def test_links_at_the_threshold_and_hot_shingles(spark, monkeypatch):
+    """Sets of sizes at the border, many components in one posting list, against all pairs."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 4)
+    rng = np.random.default_rng(8)
+    hot = [f"h{i}" for i in range(12)]
+    texts = []
+    for k in range(60):  # all hold the hot words, in groups of three that differ by few words
+        own = [f"g{k // 3}_{i}" for i in range(int(rng.integers(8, 30)) if k % 3 == 0 else len(own))]
+        texts.append(" ".join([*hot, *own[: len(own) - k % 3], *[f"x{k}_{i}" for i in range(k % 3)]]))
+    texts += [" ".join(f"z{i}" for i in range(n)) for n in range(1, 45)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for n, percent in ((1, 80), (2, 90)):
+        sets = [shingles(t, n) for t in texts]
+        near = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+        got = ngram_join.jaccard_components(df, n=n, percent=percent).collect()
+        assert {r["doc"]: r["links"] for r in got} == {i: sum(near(x, y) for j, y in enumerate(sets) if i != j) for i, x in enumerate(sets)}
+        label = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if near(x, sets[j]) and label[i] != label[j]:
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if v == high else v for v in label]
+        assert {r["doc"]: r["component"] for r in got} == dict(enumerate(label))
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows with null and repeated ids are told apart."""
+    text, other = "a b c d e f g h", "i j k l m n o p"
+    rows = [(None, text), (None, text), (5, other), (5, text), (5, other), (9, other), (None, other), (None, "alone it is here today"), (None, None), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("cid", F.lit(1)).withColumn("key", F.lit("k"))
+    got = ngram_join.one_per_component(df, n=5, percent=80)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect())) == sorted([(5, text), (5, other), (0, "alone it is here today"), (0, ""), (0, ""), (3, "")])
