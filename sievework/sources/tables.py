@@ -40,18 +40,18 @@ def read_json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_resumable(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of an interrupted run: the last line may be torn and is dropped, any other broken line fails.
+    """JSON lines of an interrupted run: a file's last line may be torn and is dropped, any other broken line fails.
 
-    Lines are numbered by their place in the file, so only the last one is forgiven.
+    Files are read in splits; lines are ordered by their split's place in the file and
+    their place in the split, and only the greatest of each file is forgiven.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("_pos", "_line")).where("trim(_line) <> ''")
-    from pyspark.sql import Window
-
-    last = F.max("_pos").over(Window.partitionBy("_file"))
-    parsed = lines.withColumns({"_last": last, "_row": F.from_json("_line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})})
-    torn = F.col("_row._corrupt_record").isNotNull()
-    fine = F.when(~torn, F.lit(True)).when(F.col("_pos") == F.col("_last"), F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("broken line "), (F.col("_pos") + 1).cast("string"))).cast("boolean"))
-    return parsed.where(fine).select("_row.*").drop("_corrupt_record")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("_at"), F.col("value").alias("_line"))
+    parsed = lines.where("trim(_line) <> ''").withColumn("_row", F.from_json("_line", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}))
+    parsed = parsed.withColumn("_torn", F.col("_row._corrupt_record").isNotNull())
+    files = parsed.groupBy("_file").agg(F.count(F.when(F.col("_torn"), 1)).alias("_n"), F.max(F.when(F.col("_torn"), F.col("_at"))).alias("_last_torn"), F.max("_at").alias("_last"))
+    broken = (F.col("_n") > 1) | ((F.col("_n") == 1) & (F.col("_last_torn") != F.col("_last")))
+    fine = F.when(broken, F.raise_error(F.concat(F.lit("broken line in "), F.col("_file"))).cast("boolean")).otherwise(~F.col("_torn"))
+    return parsed.join(files, "_file").where(fine).select("_row.*").drop("_corrupt_record")
 
 
 def unique_rows(df: DataFrame, key: str) -> DataFrame:

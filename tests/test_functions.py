@@ -127,3 +127,50 @@ def test_dose_error_classes(spark):
     df = spark.createDataFrame(rows, "s double, t double, su string, l double, h double, u string, o double, want string")
     got = df.select(audits.dose_error(*[F.col(c) for c in ("s", "t", "su", "l", "h", "u", "o")]).alias("x"), "want").collect()
     assert all(r["x"] == r["want"] for r in got)
+
+
+def test_gold_records_without_practices(spark):
+    from sievework.operators import generation
+    from sievework.plans import fixtures
+
+    lab = fixtures.labels(spark)
+    got = generation.gold_records(lab.pests.join(lab.rows.where("label_idx = 9"), "label_idx")).select("gold").collect()
+    cause = got[0]["gold"]["likely_causes"][0]
+    assert (cause["type"], cause["evidence"], got[0]["gold"]["non_chemical_first"]) == ("disease", "", [])
+
+
+def test_transcription_and_survey(spark):
+    names = spark.createDataFrame([("A-b 1",), ("zz",), ("",), ("longer name",)], "n string")
+    text = spark.createDataFrame([("x ab1 y",), ("Longer, name!",), (None,)], "t string")
+    assert dict(audits.transcription_check(names, "n", text, "t").collect()) == {"A-b 1": True, "zz": False, "": True, "longer name": True}
+    df = spark.createDataFrame([(str(i % 8), i % 2) for i in range(40)], "v string, p int")
+    got = audits.survey(df, "v", F.col("p"), examples=3).orderBy("pattern").collect()
+    assert [(r["n_values"], r["n_rows"], r["examples"]) for r in got] == [(4, 20, ["0", "2", "4"]), (4, 20, ["1", "3", "5"])]
+
+
+def test_cosine_pairs_in_blocks(spark):
+    import numpy as np
+
+    from sievework.operators import dedup
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 7 == 0), [float(x) for x in rng.normal(size=4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, k int, v array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    key = {i: k for i, k, _ in rows}
+    cos = {(i, j): float(unit[i] @ unit[j]) for i in unit for j in unit if i < j and key[i] == key[j]}
+    wanted = {p for p, c in cos.items() if c > 0.6}
+    got = dedup.cosine_pairs(df, "k", "id", "v", 0.6, top=None, block_rows=7)
+    assert {(r["a"], r["b"]) for r in got.collect()} == wanted
+    near = {i: sorted((j for j in unit if key[j] == key[i]), key=lambda j: (-unit[i] @ unit[j], j))[:4] for i in unit}
+    top = {p for p in wanted if p[1] in near[p[0]] or p[0] in near[p[1]]}
+    assert {(r["a"], r["b"]) for r in dedup.cosine_pairs(df, "k", "id", "v", 0.6, top=4, block_rows=7).collect()} == top
+
+
+def test_terms_by_their_first_words(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "one two three four five"), (2, "Two, three"), (3, None), (1, "five one")], "id int, t string")
+    terms = spark.createDataFrame([("two three",), ("one two three four five",), ("five",), ("three five",), ("",)], "term string")
+    wanted = sorted([(1, "two three"), (1, "one two three four five"), (1, "five"), (2, "two three"), (1, "five")])
+    for most in (2000, 0):
+        monkeypatch.setattr(joins, "_FIRST_WORDS", most)
+        assert sorted(tuple(r) for r in joins.term_matches(texts, terms, "id", "t", "term", longest=2).select("id", "term").collect()) == wanted
