@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audited, curation, parsing, relational
+from . import audited, curation, parsing, relational, reviewed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**curation.QUERIES, **relational.QUERIES, **parsing.QUERIES, **audited.QUERIES}
+    return {**curation.QUERIES, **relational.QUERIES, **parsing.QUERIES, **audited.QUERIES, **reviewed.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**curation.SQL, **relational.SQL, **parsing.SQL, **audited.SQL}
+    return {**curation.SQL, **relational.SQL, **parsing.SQL, **audited.SQL, **reviewed.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

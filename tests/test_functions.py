@@ -174,3 +174,20 @@ def test_terms_by_their_first_words(spark, monkeypatch):
     for most in (2000, 0):
         monkeypatch.setattr(joins, "_FIRST_WORDS", most)
         assert sorted(tuple(r) for r in joins.term_matches(texts, terms, "id", "t", "term", longest=2).select("id", "term").collect()) == wanted
+
+
+def test_tightened_schema():
+    from sievework.operators.reviews import tightened
+
+    schema = {"type": "object", "title": "x", "properties": {"a": {"type": "array", "items": {"type": "object", "properties": {"title": {"type": "string", "default": ""}}}}, "b": {"type": "string"}}}
+    inner = {"type": "object", "properties": {"title": {"type": "string"}}, "additionalProperties": False, "required": ["title"]}
+    assert tightened(schema) == {"type": "object", "properties": {"a": {"type": "array", "items": inner}, "b": {"type": "string"}}, "additionalProperties": False, "required": ["a", "b"]}
+
+
+def test_refilled_doses_report_what_moved(spark):
+    from sievework.operators.reviews import refilled_doses
+
+    df = spark.createDataFrame([(1, "500", "A 5% EC"), (2, "500 g", "A 5% EC"), (3, None, None), (4, "5", None)], "k int, c string, i string")
+    kept, moved = refilled_doses(df, "k", "c", "i")
+    assert sorted((r["k"], r["dose_unit"], r["dose_code"]) for r in kept.collect()) == [(1, "ml", ""), (2, "g", ""), (3, "", "UNRECOGNISED"), (4, "", "NEEDS_UNIT")]
+    assert moved.count() == 0
