@@ -58,14 +58,14 @@ def verify_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guard_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.guard(X.responses(spark), X.labels(spark)).select("item_id", F.array_join("actions", ";").alias("actions"))
+    return guard.guard(X.responses(spark), X.labels(spark)).select("item_id", F.array_join("actions", ";").alias("actions"), "guarded", "guardable", "changed")
 
 
 def retrieve_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = X.labels(spark)
     keys = retrieval.resolved_keys(X.responses(spark), "item_id", "query_text", lab.synonyms, views=lab.views)
     sheets = retrieval.with_prompt(retrieval.fact_sheets(keys, "item_id", lab).join(X.responses(spark).select("item_id", "query_text"), "item_id"), "query_text")
-    return sheets.select("item_id", "crop_slug", "canonical", "rows_available", "rows_included", F.coalesce("miss_reason", F.lit("")).alias("miss_reason"), F.length("user_message").alias("message_chars"))
+    return sheets.select("item_id", "crop_slug", "canonical", "rows_available", "rows_included", F.coalesce("miss_reason", F.lit("")).alias("miss_reason"), "user_message")
 
 
 def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,15 @@ _named = X.values_sql([(i, p) for p, rows in _NAMED.items() for i in rows], ["la
 _practices = X.values_sql([(c, p, ";".join(m), e) for c, p, m, e in X.PRACTICES], ["crop_slug", "canonical", "measures", "evidence"], ["VARCHAR"] * 4)
 _diseases = ", ".join(f"'{n}'" for n in sorted({n for targets in domain.TARGETS.values() for n, kind, _ in targets if kind == "disease"}))
 
+#: The rows of a fact sheet: row, product, basis, bounds, unit and wording of its dose, days, none applies, wording of the period, method.
+_SHEET = [
+    (1, "Imidacloprid 17.8% SL", "per_ha", 100.0, 125.0, "ml", "100-125 ml", 40, False, "40", None), (2, "Acephate 75% SP", "per_ha", 390.0, None, "g", "390 g", 15, False, "15", None),
+    (3, "Clothianidin 50% WDG", "per_ha", 30.0, 40.0, "g", "30-40 g", 20, False, "20", None), (4, "Clothianidin 50% WDG", "per_ha", 200.0, 250.0, "g", "200-250 g", 76, False, "76", "soil_drench"),
+    (5, "Imidacloprid 48% FS", "per_kg_seed", 5.0, 9.0, "ml", "5-9 ml/kg seed", None, True, "Seed dresser", None),
+]
+_sheet = X.values_sql([("cotton", "Jassid", *r) for r in _SHEET], ["crop_slug", "canonical", "label_idx", "name", "basis", "low", "high", "unit", "raw", "phi", "na", "phi_raw", "method"], ["VARCHAR", "VARCHAR", "BIGINT", "VARCHAR", "VARCHAR", "DOUBLE", "DOUBLE", "VARCHAR", "VARCHAR", "INTEGER", "BOOLEAN", "VARCHAR", "VARCHAR"])
+_unresolved = "'" + retrieval.MISS_LINES["unresolved"].replace("'", "''") + "'"
+
 _ambiguous = {"two_uses": "C1_dose;C2_phi"}
 _gate_passes = ("good", "kilo", "refused", "drench", "seed")
 _valid = [a for a in X.ANSWERS if a[0] not in ("not_json", "not_valid")]
@@ -126,7 +135,20 @@ SQL = {
     "verify_score": X.values_sql([(a[0], a[6], a[7]) for a in X.ANSWERS], ["item_id", "total", "excluded"], ["VARCHAR", "DOUBLE", "BOOLEAN"]),
     "verify_gate": X.values_sql([(a[0], a[0] in _gate_passes, a[7] or a[0] in _ambiguous, _ambiguous.get(a[0], "")) for a in X.ANSWERS], ["item_id", "passed", "excluded", "ambiguous"], ["VARCHAR", "BOOLEAN", "BOOLEAN", "VARCHAR"]),
     "verify_filter": X.values_sql([(a[0], a[0] in ("good", "kilo", "over_escalated", "wrong_cause", "refused", "drench", "seed")) for a in X.ANSWERS], ["item_id", "passed"], ["VARCHAR", "BOOLEAN"]),
-    "guard_answers": X.values_sql([(r[0], ";".join(r[3])) for r in X.RESPONSES], ["item_id", "actions"], ["VARCHAR", "VARCHAR"]),
+    # What the guard writes is the response without the options it removes, escalated where it says so.
+    "guard_answers": f"""WITH r AS ({X.values_sql([(r[0], r[2], ";".join(r[3])) for r in X.RESPONSES], ["item_id", "said", "actions"], ["VARCHAR"] * 3)}),
+n AS (SELECT *, regexp_extract_all(actions, 'removed_[a-z]+:(\\d+)', 1) AS gone, CASE WHEN actions <> 'unparseable' THEN string_split(regexp_extract(said, '"chemical_options":\\[(.*)\\],"safety"', 1), '}},{{"active') END AS options FROM r),
+k AS (SELECT *, list_filter(list_transform(range(len(options)), lambda i: CASE WHEN list_contains(gone, CAST(i AS VARCHAR)) THEN NULL ELSE (CASE WHEN i > 0 THEN '{{"active' ELSE '' END) || options[i + 1] || (CASE WHEN i + 1 < len(options) THEN '}}' ELSE '' END) END), lambda x: x IS NOT NULL) AS kept FROM n)
+SELECT item_id, actions, CASE WHEN options IS NULL THEN said ELSE replace(replace(said, regexp_extract(said, '"chemical_options":(.*),"safety"', 1), '[' || array_to_string(kept, ',') || ']'),
+CASE WHEN contains(actions, 'escalation') THEN '"escalate_to_expert":false' ELSE chr(0) END, '"escalate_to_expert":true') END AS guarded, options IS NOT NULL AS guardable, options IS NOT NULL AND actions <> '' AS changed FROM k""",
+    "retrieve_sheets": f"""WITH f AS (SELECT *, list_transform([low, high, CASE WHEN basis = 'per_ha' THEN round(low / 2.4711, 4) END, CASE WHEN basis = 'per_ha' THEN round(high / 2.4711, 4) END],
+  lambda x: CASE WHEN x IS NULL THEN 'null' WHEN x = round(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END) AS n FROM ({_sheet})),
+s AS (SELECT crop_slug, canonical, count(*) AS rows, string_agg('{{"ai": "' || name || '", "dose_basis": "' || basis || '", "dose_min": ' || n[1] || ', "dose_max": ' || n[2] || ', "dose_unit": "' || unit || '", "dose_per_acre_min": ' || n[3] || ', "dose_per_acre_max": ' || n[4]
+  || ', "dose_raw": "' || raw || '", "phi_days": ' || coalesce(CAST(phi AS VARCHAR), 'null') || ', "phi_not_applicable": ' || CAST(na AS VARCHAR) || ', "phi_raw": "' || phi_raw || '", "application_method": ' || coalesce('"' || method || '"', 'null') || ', "biological": false}}', ', ' ORDER BY label_idx) AS body FROM f GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN contains(query, 'cotton') THEN 'cotton' END AS crop_slug, CASE WHEN contains(query, 'jassids') THEN 'Jassid' END AS canonical FROM ({X.values_sql([r[:2] for r in X.RESPONSES], ["item_id", "query"], ["VARCHAR"] * 2)}))
+SELECT item_id, q.crop_slug, q.canonical, coalesce(rows, 0) AS rows_available, CAST(coalesce(rows, 0) AS INTEGER) AS rows_included, CASE WHEN rows IS NULL THEN 'unresolved' ELSE '' END AS miss_reason,
+'<query' || coalesce(' crop="' || q.crop_slug || '"', '') || '>' || chr(10) || query || chr(10) || '</query>' || chr(10) || chr(10) || '<fact_sheet>' || chr(10) || coalesce('[' || body || ']', {_unresolved}) || chr(10) || '</fact_sheet>' AS user_message
+FROM q LEFT JOIN s ON s.crop_slug = q.crop_slug AND s.canonical = q.canonical""",
     "record_checks": X.values_sql([(a[0], a[0] != "not_json", a in _valid, 2 if a[0] == "not_valid" else 0) for a in X.ANSWERS], ["item_id", "is_json", "is_valid", "n_errors"], ["VARCHAR", "BOOLEAN", "BOOLEAN", "INTEGER"]),
     "gold_records": f"""WITH r AS (SELECT * FROM ({_facts}) JOIN ({_named}) USING (label_idx) WHERE NOT defective AND NOT contradicted),
 u AS (SELECT *, bool_or(phi IS NULL AND NOT na) OVER (PARTITION BY crop_slug, canonical, ai) AS unknown FROM r)
