@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_term, normalized
+from ..functions.text import has_term, let, normalized
 
 
 #: Up to so many words that terms begin with are looked for before runs are formed.
@@ -69,20 +69,24 @@ def term_matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str, te
     With ``key``, both sides must agree in that column.
     """
     keys = [key] if key else []
-    words = texts.select(text_id, *keys, F.split(normalized(text), " ").alias("_words")).where(F.size("_words") > 0)
     known = terms.withColumn("_term", normalized(term)).where("_term <> ''").withColumn("_size", F.size(F.split("_term", " ")))
     known = known.withColumn("_run", F.array_join(F.slice(F.split("_term", " "), 1, longest), " "))
     firsts = [r[0] for r in known.select(F.substring_index("_term", " ", 1)).distinct().limit(_FIRST_WORDS + 1).collect()]
     begins = (lambda w: w.isin(*firsts)) if len(firsts) <= _FIRST_WORDS else (lambda w: F.lit(True))
-    places = F.filter(F.transform("_words", lambda w, i: F.when(begins(w), i + 1)), lambda i: i.isNotNull())
-    found = words.withColumn("_places", places).where(F.size("_places") > 0)
-    runs = F.flatten(F.transform("_places", lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice("_words", i, n), " "))))
-    asked = found.select(text_id, *keys, F.explode(F.array_distinct(runs)).alias("_run"))
-    short = asked.join(known.where(F.col("_size") <= longest), [*keys, "_run"])
+
+    def runs(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(begins(w), i + 1)), lambda i: i.isNotNull())
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(words, i, n), " ")))))
+
+    # An outer explode, as Spark would work the words out once more to filter texts without a run.
+    asked = texts.select(text_id, *keys, F.explode_outer(let(F.split(normalized(text), " "), runs)).alias("_run")).where("_run is not null")
+    met = asked.join(known, [*keys, "_run"])
+    if known.where(F.col("_size") > longest).isEmpty():
+        return met.drop("_run", "_term", "_size")
     # Only for terms of more words are the whole texts looked at again.
-    long = asked.join(known.where(F.col("_size") > longest), [*keys, "_run"]).join(words.select(text_id, "_words"), text_id)
-    long = long.where(has_term(F.array_join("_words", " "), F.col("_term"))).drop("_words")
-    return short.unionByName(long).drop("_run", "_term", "_size")
+    long = met.where(F.col("_size") > longest).join(texts.select(text_id, normalized(text).alias("_plain")), text_id)
+    long = long.where(has_term(F.col("_plain"), F.col("_term"))).drop("_plain")
+    return met.where(F.col("_size") <= longest).unionByName(long).drop("_run", "_term", "_size")
 
 
 def longest_term(matches: DataFrame, text_id: str, term: str) -> DataFrame:
