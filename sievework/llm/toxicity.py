@@ -3,7 +3,9 @@
 A document is a bag of sentences. A sentence's score is a logistic function of
 its words; the document's is the noisy-or of its sentences', 1 - prod(1 - p). The
 weights are fitted to document labels through the noisy-or, so sentences need no
-labels, and the sentence scores then locate what offends.
+labels, and the sentence scores then locate what offends. Only sentences with a
+feature that training kept take part, in training and in scoring: others score 0,
+so that a clean text's score doesn't grow with its length.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from ._common import NON_WORD, mix, ready, word_hashes
 
 _CEILING = 0.999
 _BITS = 16
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5, 6, 7, 8, 9)
+#: So many words have their features worked out at once.
+_WORDS = 1 << 16
 _draw = np.random.default_rng(20240711)
 _LETTER = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)
 _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
@@ -53,24 +57,23 @@ def split_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return words, which, starts, ends
 
 
-def features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, sentence) pairs, and (start, end) of the words; a word's features are itself and its first 4, 5 and 6 bytes.
+def features(data: bytes, words: np.ndarray, which: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(features, sentences) of the words of a text, in blocks; a word's features are itself and its first 4 to 9 bytes.
 
     Inflected and compounded words share their beginnings, so one seen form speaks for others.
     """
-    words, which, starts, ends = split_words(data)
-    if not len(words):
-        return words, which, starts, ends
     raw = np.frombuffer(data, dtype=np.uint8)
-    size = ends - starts
-    letters = _LETTER[raw[np.minimum(starts[:, None] + np.arange(_PREFIXES[-1]), len(raw) - 1)]] * _PLACE
-    sums = np.cumsum(letters, axis=1)
-    found, of = [words], [which]
-    for k in _PREFIXES:
-        long = np.flatnonzero(size > k)
-        found.append(mix(sums[long, k - 1] + np.uint64(k)))
-        of.append(which[long])
-    return np.concatenate(found), np.concatenate(of), starts, ends
+    for at in range(0, len(words), _WORDS):
+        part = slice(at, at + _WORDS)
+        size = ends[part] - starts[part]
+        letters = _LETTER[raw[np.minimum(starts[part, None] + np.arange(_PREFIXES[-1]), len(raw) - 1)]] * _PLACE
+        sums = np.cumsum(letters, axis=1)
+        found, of = [words[part]], [which[part]]
+        for k in _PREFIXES:
+            long = np.flatnonzero(size > k)
+            found.append(mix(sums[long, k - 1] + np.uint64(k)))
+            of.append(which[part][long])
+        yield np.concatenate(found), np.concatenate(of)
 
 
 def once_a_sentence(words: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +97,16 @@ class ToxicityModel:
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
         self.maybe[(self.words >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def sentence_scores(self, words: np.ndarray, which: np.ndarray) -> np.ndarray:
-        z = np.full(int(which.max(initial=-1)) + 1, self.bias)
-        at, of = self.hits(words, which)
-        np.add.at(z, of, self.weights[at])
-        return _CEILING / (1 + np.exp(-z))
-
-    def hits(self, words: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, data: bytes, *split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the model, sentence) of the features that the model has, each once a sentence."""
-        close = np.flatnonzero(self.maybe[(words >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not len(close):
-            return close, close
-        words, which = once_a_sentence(words[close], which[close])
+        near, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for found, which in features(data, *split):
+            close = np.flatnonzero(self.maybe[(found >> np.uint64(64 - _BITS)).astype(np.int64)])
+            near.append(found[close])
+            of.append(which[close])
+        words, which = once_a_sentence(np.concatenate(near), np.concatenate(of))
+        if not len(words):
+            return np.empty(0, np.int64), which
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         hit = self.words[at] == words
         return at[hit], which[hit]
@@ -113,16 +114,18 @@ class ToxicityModel:
     def judge(self, text: str, at_least: float) -> tuple[float, list[tuple[int, int, float]]]:
         """(score, [(start, end, score) of each sentence that scores so much]) in code points, from its first word to its last.
 
-        The score is 0 for a text without words.
+        The score is 0 for a text without a feature that the model has.
         """
         data = text.encode()
-        words, which, starts, ends = features(data)
-        p = self.sentence_scores(words, which)
-        which = which[: len(starts)]
-        score = float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
+        split = split_words(data)
+        at, of = self.hits(data, *split)
+        sentences, of = np.unique(of, return_inverse=True)
+        p = _CEILING / (1 + np.exp(-(self.bias + np.bincount(of, weights=self.weights[at], minlength=len(sentences)))))
+        score = float(-np.expm1(np.log1p(-p).sum())) + 0.0  # never -0.0
+        _, which, starts, ends = split
         found = []
         for i in np.flatnonzero(p >= at_least):
-            low, high = np.searchsorted(which, [i, i + 1])
+            low, high = np.searchsorted(which, [sentences[i], sentences[i] + 1])
             s, e = int(starts[low]), int(ends[high - 1])
             begin = len(data[:s].decode())
             found.append((begin, begin + len(data[s:e].decode()), float(p[i])))
@@ -133,7 +136,8 @@ def _telling(texts: list[str], labels: np.ndarray, min_docs: int, least_z: float
     """Features that toxic texts hold more often than others by so many standard deviations, the strongest ``most``, sorted."""
     seen = {0: [np.empty(0, np.uint64)], 1: [np.empty(0, np.uint64)]}
     for text, y in zip(texts, labels, strict=True):
-        seen[int(y)].append(np.unique(features(text.encode())[0]))
+        data = text.encode()
+        seen[int(y)].append(np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(f) for f, _ in features(data, *split_words(data)))])))
     kinds, n1 = np.unique(np.concatenate(seen[1]), return_counts=True)
     others, n0 = np.unique(np.concatenate(seen[0]), return_counts=True)
     in_others = np.zeros(len(kinds))
@@ -146,29 +150,31 @@ def _telling(texts: list[str], labels: np.ndarray, min_docs: int, least_z: float
     return np.sort(kinds[strong[np.lexsort((kinds[strong], -z[strong]))][:most]])
 
 
-def fit(texts: list[str], labels: np.ndarray, min_docs: int = 5, least_z: float = 5.0, most: int = 5000, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, min_docs: int = 8, least_z: float = 3.0, most: int = 5000, balance: float = 0.25, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> ToxicityModel:
     """Gradient ascent on the documents' log likelihood through the noisy-or, with Adam's step sizes and L2 decay.
 
-    Only features that tell are fitted (``min_docs``, ``least_z``, ``most``). Without
-    texts or with one label only, the model scores every sentence by its bias.
+    Only features that tell are fitted (``min_docs``, ``least_z``, ``most``). Toxic
+    documents weigh (others / toxic ones) ** ``balance`` times as much. Without texts
+    or with one label only, the model has no features and scores all texts 0.
     """
     if not len(labels) or labels.min() == labels.max():
-        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), -8.0)
+        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), 0.0)
     kinds = _telling(texts, labels, min_docs, least_z, most)
     probe = ToxicityModel(kinds, np.zeros(len(kinds)), 0.0)
-    docs, sents, index, n_sent = [], [], [np.empty(0, np.int64)], 0
+    index, sents, docs, n_sent = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     for d, text in enumerate(texts):
-        found, which, _, _ = features(text.encode())
-        if len(found):
-            at, of = probe.hits(found, which)
-            index.append(at)
-            sents.append(of + n_sent)
-            docs += [d] * (int(which.max()) + 1)
-            n_sent += int(which.max()) + 1
-    index, sent, doc = np.concatenate(index), np.concatenate([np.empty(0, np.int64), *sents]), np.array(docs, dtype=np.int64)
+        data = text.encode()
+        at, of = probe.hits(data, *split_words(data))
+        sentences, of = np.unique(of, return_inverse=True)
+        index.append(at)
+        sents.append(of + n_sent)
+        docs.append(np.full(len(sentences), d))
+        n_sent += len(sentences)
+    index, sent, doc = np.concatenate(index), np.concatenate(sents), np.concatenate(docs)
     y = labels[doc]
-    weight = np.where(y == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-    params = np.append(np.zeros(len(kinds)), -6.0)
+    more = ((labels == 0).sum() / (labels == 1).sum()) ** balance
+    weight = np.where(y == 1, more, 1.0) / np.where(labels == 1, more, 1.0).sum()
+    params = np.append(np.zeros(len(kinds)), -2.0)
     m, v = np.zeros(len(params)), np.zeros(len(params))
     for step in range(1, rounds + 1):
         z = params[-1] + np.bincount(sent, weights=params[index], minlength=n_sent)
@@ -189,9 +195,10 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, rows: int = 4000, ch
     """A model from labelled rows that aren't held out.
 
     At most ``rows`` labelled ids are used, those whose hash comes first, a third of
-    them toxic where there are so many; of their texts those that come first up to
-    ``chars`` characters together, so that the driver's share stays bounded. Null
-    ids and labels are left out; an id with two labels counts as toxic.
+    them toxic where there are so many. Their texts are taken in that order, an id's
+    texts together, leaving out those with which all would have over ``chars``
+    characters, so that the driver's share stays bounded. Null ids and labels are
+    left out; an id with two labels counts as toxic; each row of a repeated id counts.
     """
     spark = documents.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
@@ -203,17 +210,20 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, rows: int = 4000, ch
     ids = F.broadcast(spark.createDataFrame(picked, known.schema))
     texts = documents.select("doc_id", "text").join(ids, "doc_id")
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > chars:  # so many of the first by their draw as fit, which the sizes alone decide
-        sizes = texts.groupBy("doc_id", "draw").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy("draw").collect()
-        total = np.cumsum([r["n"] for r in sizes])
-        fits = [(r["doc_id"],) for r, t in zip(sizes, total, strict=True) if t <= chars]
+    if size > chars:  # which fit, the sizes alone decide
+        sizes = texts.groupBy("doc_id", "draw").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy("draw", "doc_id").collect()
+        fits, total = [], 0
+        for r in sizes:
+            if total + r["n"] <= chars:
+                total += r["n"]
+                fits.append((r["doc_id"],))
         texts = texts.join(F.broadcast(spark.createDataFrame(fits, "doc_id bigint")), "doc_id", "left_semi")
     got = sorted((r["draw"], r["doc_id"], r["text"] or "", r["toxic"]) for r in texts.collect())
     return fit([r[2] for r in got], np.array([r[3] for r in got], dtype=np.int64))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", score: str = "toxicity", spans: str | None = None, at_least: float = 0.3) -> DataFrame:
-    """All columns of ``df`` and ``score`` of the whole text, 0 for null texts and those without words.
+    """All columns of ``df`` and ``score`` of the whole text, 0 for null texts and those without a feature of the model.
 
     With ``spans`` also the sentences that score ``at_least`` so much, as an array
     of (start, end, score). Input columns named as the new ones are replaced.
