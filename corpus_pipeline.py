@@ -7,25 +7,32 @@ Parquet and read again for the next one. All but the last return the columns of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe, language, ngram_join, queries, secret_scan, tiling
-from sievework.llm._common import without_ids
+from sievework.llm._common import cut, small
+from sievework.operators.graph import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language isn't found with a probability of one half or more."""
+    """Drops documents whose language isn't found with a probability of one half or more.
+
+    The verdict depends on a row's text and source only, so rows are dropped by two
+    64-bit hashes of these, whatever their id.
+    """
     model = language.train_language(docs)
-    judged = language.identify_language(docs.select("doc_id", "text", "lang", "source"), model, declared=F.col("lang"), host=F.col("source"))
-    return without_ids(docs, "doc_id", judged.where(~F.col("accepted")).select("doc_id"))
+    given = [F.col(c).isNull() for c in ("text", "source")] + [F.col("text"), F.col("source")]
+    keys = {"_sw_one": F.xxhash64(F.lit(1), *given), "_sw_two": F.xxhash64(F.lit(2), *given)}
+    judged = language.identify_language(docs.select(*[c.alias(k) for k, c in keys.items()], "text", F.col("source").alias("host")), model, host=F.col("host"))
+    rejected = small(cut(judged.where("not accepted").select(*keys).distinct()))
+    return docs.withColumns(keys).join(rejected, list(keys), "left_anti").drop(*keys)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group that links by five-word shingles at 0.8 or more."""
+    """Keeps the row with the least id of each group that links by five-word shingles at 0.8 or more."""
     return ngram_join.one_per_component(docs, n=5, percent=80)
 
 
@@ -62,10 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the stages make of ``documents``.
 
     What stages hand on is written to the folder of ``spark.checkpoint.dir``; where
-    that is unset (tests), to a temporary one.
+    that is unset, a local session (tests) takes a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components, cut, discard
 from ..session import ready
 
-__all__ = ["components", "cut", "discard", "ready", "small", "without_ids", "word_hashes", "shingles", "mix", "power_tables", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_BYTES"]
+__all__ = ["components", "cut", "discard", "ready", "small", "word_hashes", "shingles", "mix", "power_tables", "as_bytes", "SPACES", "NON_WORD", "BROADCAST_BYTES"]
 
 #: What is broadcast has at most so many bytes. Beyond that rows are shuffled to it.
 BROADCAST_BYTES = 16 << 20
@@ -22,12 +22,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fixed and df.count() * width <= BROADCAST_BYTES else df
 
 
-def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` isn't among the one column of ``ids``; rows with a null stay."""
-    gone = small(cut(ids.toDF("_sw_id").distinct()))
-    return df.join(gone, df[column] == gone["_sw_id"], "left_anti")
-
-
 # -- hashed words -----------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, as_bytes, components, cut, discard, ready, shingles, small, without_ids, word_hashes
+from ._common import SPACES, as_bytes, components, cut, discard, ready, shingles, small, word_hashes
 
 #: Counters of the sketch, whose size doesn't depend on the data: 16 MB on each side.
 SKETCH_BITS = 22
@@ -44,7 +44,6 @@ LONG_LIST = 32
 _GROUP = 256
 #: So many tasks' counts are added to one partial sum.
 _FAN = 1024
-_ROW = "_sw_row_number"
 #: About so many shingles make a block: 2 MB.
 BLOCK_SHINGLES = 1 << 18
 
@@ -72,14 +71,10 @@ def sketch(df: DataFrame, n: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "counts"])
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for data in as_bytes(batch.column(0)):
-                s = _slots(shingle_set(data, n))
-                if len(s) > 4096:
-                    total += np.bincount(s, minlength=len(total))
-                else:
-                    np.add.at(total, s, 1)
+                np.add.at(total, _slots(shingle_set(data, n)), 1)
         if total.any():
             yield packed(TaskContext.get().partitionId() // _FAN, {i: total[i * _CHUNK : (i + 1) * _CHUNK] for i in range(chunks)})
 
@@ -141,7 +136,7 @@ def _cid(s: np.ndarray) -> int:
 
 
 def _read(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, key, size, cid, level, tokens) of the rows (id, key, text).
+    """(id, key, .., size, cid, level, tokens) of the rows (id, key, .., text).
 
     The class of an empty set is null. ``tokens`` is the prefix, given once a task
     for each class that is large enough to link with one of another size, else null.
@@ -156,7 +151,7 @@ def _read(df: DataFrame, n: int, percent: int) -> DataFrame:
         noise = float(counts.mean())
         for batch in batches:
             sizes, cids, levels, tokens = [], [], [], []
-            for data in as_bytes(batch.column(2)):
+            for data in as_bytes(batch.column(where)):
                 s = shingle_set(data, n)
                 cid = _cid(s) if len(s) else None
                 new = cid is not None and 100 * len(s) >= percent * (len(s) + 1) and cid not in seen
@@ -169,10 +164,11 @@ def _read(df: DataFrame, n: int, percent: int) -> DataFrame:
             ends = np.cumsum([0, *(0 if t is None else len(t) for t in tokens)])
             flat = np.concatenate([np.empty(0, np.uint64), *(t for t in tokens if t is not None)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(levels, pa.int32()), lists], names=["id", "key", "size", "cid", "level", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(levels, pa.int32()), lists], names=[*kept, "size", "cid", "level", "tokens"])
 
-    kind = dict(df.dtypes)["id"]
-    return df.select("id", "key", "text").mapInArrow(run, f"id {kind}, key bigint, size bigint, cid bigint, level int, tokens array<bigint>")
+    kept = [c for c in df.columns if c != "text"]
+    where = len(kept)
+    return df.select(*kept, "text").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in kept), "size bigint, cid bigint, level int, tokens array<bigint>"]))
 
 
 def _sets(wanted: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -444,14 +440,24 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``df`` for each component, that with the least id, all columns as they are.
 
-    Known ids go before null ones; of rows with the same id, in repeated rows too, one
-    stays. Rows are told apart by numbers, so a row never goes for another's id. Rows
-    without a shingle all stay.
+    Known ids go before null ones, then the text's hash decides. Rows are told apart by
+    their id and their text's 64-bit hash, so a row never goes for another text's id; of
+    rows that agree in both, any one stays. Rows without a shingle all stay.
     """
-    numbered = cut(df.withColumn(_ROW, F.monotonically_increasing_id()))
-    rows = numbered.select(F.col(doc_id).cast("bigint").alias("id"), F.col(_ROW).alias("key"), F.col(text).alias("text"))
+    digest = F.xxhash64(F.col(text))
+    rows = _keyed(df, doc_id, text).withColumn("digest", F.xxhash64("text"))
     found, members = _joined(rows, n, percent)
-    placed = found.select("id", "key", "cid").join(members.select("cid", "label"), "cid")
-    first = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
-    gone = placed.join(first, "label").where("key <> first.key").select("key")
-    return without_ids(numbered, _ROW, gone).drop(_ROW)
+    placed = found.select("id", "digest", "cid").join(small(cut(members.select("cid", "label"))), "cid")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    first = placed.groupBy("label").agg(F.min(order).alias("first"))
+    marked = cut(placed.withColumn("at", order).join(first, "label").select("id", "digest", (F.col("at") == F.col("first")).alias("stays")))
+    # The null id is told by a flag, as keys must not be null. 0 stands in for it.
+    keys = [F.col("id").isNull().alias("_sw_none"), F.coalesce("id", F.lit(0).cast("bigint")).alias("_sw_id"), F.col("digest").alias("_sw_digest")]
+    own = {"_sw_none": F.col(doc_id).isNull(), "_sw_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0).cast("bigint")), "_sw_digest": digest}
+    gone = cut(marked.where("not stays").select(*keys).distinct())
+    left = df.withColumns(own).join(small(gone), list(own), "left_anti")
+    again = cut(marked.where("stays").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if not again.isEmpty():
+        twice = left.join(small(again), list(own), "left_semi").dropDuplicates(list(own))
+        left = left.join(small(again), list(own), "left_anti").unionByName(twice)
+    return left.drop(*own)
