@@ -4,24 +4,25 @@ For each text and language the log odds add up
 
 * the text's likelihood under a naive Bayes model of hashed character trigrams,
 * the declared markup language, which is right with a given probability,
-* the address suffix: how often the language is seen under it,
-* the host's prior, smoothed towards its domain's, that towards all rows'.
-
-Suffix and host figures are grouped sums, over all rows, of what the text alone
-says; each row's own share is taken out again before it is judged. The languages
-compete with ``und``, under which all trigrams are equally likely.
+* the prior of the host, smoothed towards its domain's, that towards its address
+  suffix's, and that towards all rows'.
+
+The prior comes from grouped sums, over all rows, of what the text alone says. A
+row's share counts once in them: at its host, whose rows are left out of its domain's
+sum, as the domain's are of the suffix's and the suffix's of the whole; and a row's own
+share is taken out before it is judged. The languages compete with ``und``, under
+which all trigrams are equally likely.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, ready
+from ._common import BROADCAST_BYTES, cut, ready
 
 _BITS = 16
 BUCKETS = 1 << _BITS
@@ -29,20 +30,22 @@ UND = "und"
 _PIECE = 1 << 20
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of the character trigrams of the lower-case text, runs of what isn't a letter reduced to one blank."""
-    out = []
+def trigrams(text: str):
+    """Buckets of the character trigrams of the lower-case text, runs of what isn't a letter reduced to one blank; in pieces."""
+    tail = np.empty(0, dtype=np.uint32)  # the last two characters of the piece before
     for at in range(0, len(text), _PIECE):
         codes = np.frombuffer(text[at : at + _PIECE].lower().encode("utf-32-le", "replace"), dtype=np.uint32)
         letter = (codes >= 97) & (codes <= 122) | (codes >= 192) & (codes != 215) & (codes != 247) & ~((codes >= 0x2000) & (codes <= 0x2BFF))
-        codes = np.where(letter, codes, np.uint32(32))
+        codes = np.concatenate([tail, np.where(letter, codes, np.uint32(32))])
+        letter = codes != 32
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = letter[1:] | letter[:-1]
-        codes = codes[keep].astype(np.uint64)
+        codes = codes[keep]
+        tail = codes[-2:]
+        codes = codes.astype(np.uint64)
         if len(codes) >= 3:
             h = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1]) * np.uint64(0x85EBCA77) + codes[2:]
-            out.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+            yield ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
 @dataclass
@@ -52,42 +55,45 @@ class LanguageModel:
     languages: list[str]
     logs: np.ndarray  # (languages, buckets)
 
-    def evidence(self, text: str) -> np.ndarray:
-        """The log likelihoods, tempered as if no text had over 200 trigrams, as trigrams aren't independent."""
-        buckets = trigrams(text)
-        if not len(buckets):
-            return np.zeros(len(self.languages))
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(buckets), _PIECE):
-            total += np.take(self.logs, buckets[at : at + _PIECE], axis=1).sum(axis=1)
-        return total * min(1.0, 200 / len(buckets))
+    def evidence(self, text: str, weight: float = 200.0) -> np.ndarray:
+        """The log likelihoods, tempered as if no text had over ``weight`` trigrams, as trigrams aren't independent."""
+        total, n = np.zeros(len(self.languages)), 0
+        for buckets in trigrams(text):
+            total += np.take(self.logs, buckets, axis=1).sum(axis=1)
+            n += len(buckets)
+        return total * min(1.0, weight / max(n, 1))
 
 
-def train_language(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = 2000, smooth: float = 0.1) -> LanguageModel:
+def train_language(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = 1000, languages: int = 64, smooth: float = 0.1) -> LanguageModel:
     """A model from at most ``rows`` texts of each language, those whose hash comes first; copies count once.
 
-    Null or empty texts and languages are left out. Rows are counted on the
-    executors; the driver gets the sums, whose size doesn't depend on the data.
+    The ``languages`` with the most rows are learned. Null or empty texts and languages
+    are left out. Whole texts are counted on the executors; the driver gets the sums,
+    whose size doesn't depend on the data.
     """
     import pyarrow as pa
 
     spark = ready(df.sparkSession)
     own = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
-    kinds = sorted(r["lang"] for r in own.select("lang").distinct().collect())
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    kinds = sorted(r["lang"] for r in sizes)
     if not kinds:
         return LanguageModel([UND], np.full((1, BUCKETS), -np.log(BUCKETS)))
-    # The draw that the last of a language's texts has; texts up to it are read again, one row each.
-    first = [own.where(F.col("lang") == k).select("lang", "draw").distinct().orderBy("draw").limit(rows) for k in kinds]
-    bars = {r["lang"]: r["bar"] for r in reduce(DataFrame.unionAll, first).groupBy("lang").agg(F.max("draw").alias("bar")).collect()}
-    bar = F.element_at(F.create_map(*[F.lit(x) for k, b in bars.items() for x in (k, b)]), F.col("lang"))
-    drawn = own.where(F.col("draw") <= bar).dropDuplicates(["lang", "draw"]).select("lang", "text")
+    # Draws are even, so the first ``rows`` are in a share of them that the number of texts tells: four times what is
+    # needed, as that is an estimate. So no language is gathered in one place. Texts are read again by their draws.
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 4.0 * rows / max(1, r["texts"])))])
+    own = own.where(F.col("lang").isin(*kinds) & ((F.col("draw") + 2.0**63) / 2.0**64 <= F.element_at(share, F.col("lang"))))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    picked = F.broadcast(own.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= rows).select("lang", "draw"))
+    drawn = own.join(picked, ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def run(batches):
         sums = {}
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(trigrams(t[:_PIECE]), minlength=BUCKETS)
-                sums[k] = sums[k] + n if k in sums else n
+                own = sums.setdefault(k, np.zeros(BUCKETS, dtype=np.int64))
+                for buckets in trigrams(t):
+                    own += np.bincount(buckets, minlength=BUCKETS)
         for k, n in sums.items():
             hit = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())], names=["lang", "bucket", "n"])
@@ -95,15 +101,15 @@ def train_language(df: DataFrame, text: str = "text", lang: str = "lang", rows:
     counts = drawn.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((len(kinds) + 1, BUCKETS), smooth)
     table[-1] = 1.0
-    place = {k: i for i, k in enumerate(kinds)}
+    at = {k: i for i, k in enumerate(kinds)}
     for r in counts.toLocalIterator():
-        table[place[r["lang"]], r["bucket"]] += r["n"]
+        table[at[r["lang"]], r["bucket"]] += r["n"]
     return LanguageModel([*kinds, UND], np.log(table / table.sum(axis=1, keepdims=True)))
 
 
 def page_evidence(html: Column, url: Column) -> tuple[Column, Column]:
-    """(declared language, host) of a page: the lang attribute of its html tag, and its address's host."""
-    declared = F.lower(F.regexp_extract(F.substring(html, 1, 4096), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    """(declared language, host) of a page: the lang attribute of its first html tag outside comments, and its address's host."""
+    declared = F.lower(F.regexp_extract(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return F.when(declared != "", declared), F.when(host != "", host)
 
@@ -123,6 +129,7 @@ def identify_language(
     right: float = 0.9,
     pull: float = 20.0,
     accept: float = 0.5,
+    weight: float = 200.0,
 ) -> DataFrame:
     """All columns of ``df`` but ``text``, and language, probability, accepted, text_language, declared, host.
 
@@ -130,9 +137,11 @@ def identify_language(
     ``accepted`` is false where that is ``und`` or its probability is under
     ``accept``. ``right`` is the probability that a declared language is right; an
     unknown or null one says nothing. ``pull`` is the weight in rows of the level
-    above a domain or host. A null host has the prior of all rows. A text without
+    above a host, domain or suffix. A null host has the prior of all rows. ``weight``
+    is how many trigrams a text counts as at most. A text without
     trigrams says nothing itself, so only the other evidence counts; it is accepted
-    only if that reaches ``accept``. Columns named as the new ones are replaced.
+    only if that reaches ``accept``. Repeated rows are judged each and all count in
+    the sums. Columns named as the new ones are replaced, in any case of letters.
     """
     import pyarrow as pa
 
@@ -140,70 +149,65 @@ def identify_language(
     new = ["language", "probability", "accepted", "text_language", "declared", "host"]
     names = model.languages
     size = len(names)
-    rows = df.withColumns({"_sw_declared": declared if declared is not None else F.lit(None).cast("string"), "_sw_host": host if host is not None else F.lit(None).cast("string")})
-    rows = rows.drop(*[c for c in new if c != text])
-    where = rows.columns.index(text)
+    old = [c for c in df.columns if c != text and c.lower() not in new]
+    null = F.lit(None).cast("string")
+    # The frame's own columns go by numbers, so that no name can clash.
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(old)]
+    rows = df.select(*own, F.col(text).alias("text"), (null if declared is None else declared).alias("said"), (null if host is None else host).alias("host"))
+    where = rows.columns.index("text")
     sent = spark.sparkContext.broadcast(model)
-    kept = [f for f in rows.schema.fields if f.name != text]
 
     def run(batches):
         model = sent.value
         for batch in batches:
-            logs = np.array([model.evidence(x or "") for x in batch.column(where).to_pylist()]).reshape(-1, size)
+            logs = np.array([model.evidence(x or "", weight) for x in batch.column(where).to_pylist()]).reshape(-1, size)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * size, pa.int32()), pa.array(logs.ravel(), pa.float64()))
             rest = [i for i in range(batch.num_columns) if i != where]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], lists], names=[*[batch.schema.names[i] for i in rest], "_sw_logs"])
-
-    shape = rows.select(*[f.name for f in kept], F.lit(None).cast("array<double>").alias("_sw_logs")).schema
-    heard = cut(rows.mapInArrow(run, shape))
-    top = lambda logs: F.array_max(logs)
-    odds = F.transform("_sw_logs", lambda x: F.exp(x - top(F.col("_sw_logs"))))
-    whole = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    heard = heard.withColumn("_sw_share", F.transform(odds, lambda x: x / whole))
-    labels = F.split("_sw_host", r"\.")
-    heard = heard.withColumn("_sw_domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")).withColumn("_sw_suffix", F.element_at(labels, -1))
-
-    def summed(key: str, to: str) -> DataFrame:
-        by = heard.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(to + "_key"))
-        got = by.agg(*[F.sum(F.col("_sw_share")[i]).alias(f"s{i}") for i in range(size)])
-        return got.select(to + "_key", F.array(*[f"s{i}" for i in range(size)]).alias(to))
-
-    all_rows = heard.agg(*[F.coalesce(F.sum(F.col("_sw_share")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(size)]).first()
-    total = np.array([float(all_rows[i]) for i in range(size)])
-    base = (total + 1.0) / (total.sum() + size)
-    out = heard
-    # The sums are cut off, so that both sides of each join are plain exchanges, whose skewed partitions Spark splits.
-    for key, to in (("_sw_suffix", "_sw_n_suffix"), ("_sw_domain", "_sw_n_domain"), ("_sw_host", "_sw_n_host")):
-        out = out.join(cut(summed(key, to)), F.col(key) == F.col(to + "_key"), "left").drop(to + "_key")
-
-    zero = F.array(*[F.lit(0.0)] * size)
-    fixed = F.array(*[F.lit(float(x)) for x in base])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], lists], names=[*[batch.schema.names[i] for i in rest], "logs"])
+
+    heard = cut(rows.mapInArrow(run, rows.drop("text").withColumn("logs", F.lit(None).cast("array<double>")).schema))
+    odds = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
+    heard = heard.withColumn("odds", odds).withColumn("share", F.transform("odds", lambda x: x / F.aggregate("odds", F.lit(0.0), lambda a, y: a + y))).drop("odds")
+
+    # Sums by host; domains and suffixes are summed from those of the hosts. A level that is the same as the one below it is none.
+    each = lambda c: [F.sum(F.col(c)[i]) for i in range(size)]
+    labels = F.split("host", r"\.")
+    hosts = heard.where("host is not null").groupBy("host").agg(F.array(*each("share")).alias("n"))
+    hosts = cut(hosts.withColumn("domain", F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), "."))).withColumn("suffix", F.when(F.size(labels) > 1, F.element_at(labels, -1))))
+    total = heard.agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in each("share")]).alias("n")).first()["n"]
+    by = lambda key, to: hosts.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*each("n")).alias(to))
+    known = hosts.join(by("domain", "n_domain"), "domain", "left").join(by("suffix", "n_suffix"), "suffix", "left")
+    less = lambda n, m: F.zip_with(n, m, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    whole = F.array(*[F.lit(float(x)) for x in total])
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    others = lambda to: F.when(F.col(to).isNotNull(), F.zip_with(to, "_sw_share", lambda n, s: F.greatest(n - s, F.lit(0.0)))).otherwise(zero)
     smoothed = lambda n, above: F.zip_with(n, above, lambda x, p: (x + pull * p) / (add(n) + pull))
-    out = out.withColumns({"_sw_d": others("_sw_n_domain"), "_sw_h": others("_sw_n_host"), "_sw_s": others("_sw_n_suffix")})
-    out = out.withColumn("_sw_prior", smoothed(F.col("_sw_h"), smoothed(F.col("_sw_d"), fixed)))
-    # The suffix counts as a likelihood ratio: its smoothed share of a language against that of all rows.
-    out = out.withColumn("_sw_ratio", F.zip_with(smoothed(F.col("_sw_s"), fixed), fixed, lambda p, q: p / q))
-    known = F.array(*[F.lit(x) for x in names])
-    said = F.lower("_sw_declared")
+    base = lambda n: F.transform(n, lambda x: (x + 1) / (add(n) + size))
+    inner = F.coalesce("n_domain", "n")
+    known = known.withColumns({"all": base(less(whole, F.coalesce("n_suffix", "n"))), "s": F.when(F.col("n_suffix").isNotNull(), less(F.col("n_suffix"), inner)), "d": F.when(F.col("n_domain").isNotNull(), less(F.col("n_domain"), F.col("n")))})
+    known = known.withColumn("above", F.when(F.col("s").isNotNull(), smoothed(F.col("s"), F.col("all"))).otherwise(F.col("all")))
+    known = known.withColumn("above", F.when(F.col("d").isNotNull(), smoothed(F.col("d"), F.col("above"))).otherwise(F.col("above")))
+    known = cut(known.select("host", "n", "above"))
+    if known.count() * 16 * (size + 8) <= BROADCAST_BYTES:
+        known = F.broadcast(known)  # else Spark shuffles, and splits the rows of common hosts
+    out = heard.join(known, "host", "left")
+    prior = F.when(F.col("n").isNotNull(), smoothed(less(F.col("n"), F.col("share")), F.col("above"))).otherwise(base(less(whole, F.col("share"))))
+
+    kinds = F.array(*[F.lit(x) for x in names])
+    said = F.lower("said")
     counts = F.array_contains(F.array(*[F.lit(x) for x in names[:-1]] or [F.lit("")]), said)
     wrong = (1 - right) / max(1, size - 1)
-    tell = F.transform(known, lambda k: F.when(F.coalesce(counts, F.lit(False)), F.when(k == said, F.lit(right)).otherwise(F.lit(wrong))).otherwise(F.lit(1.0)))
-    score = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [F.transform(c, lambda x: F.log(x)) for c in (F.col("_sw_prior"), F.col("_sw_ratio"), tell)], F.col("_sw_logs"))
-    out = out.withColumn("_sw_score", score).withColumn("_sw_top", F.array_max("_sw_score"))
-    place = F.array_position(F.col("_sw_score"), F.col("_sw_top"))
-    text_place = F.array_position(F.col("_sw_logs"), F.array_max("_sw_logs"))
-    spoke = F.array_max("_sw_logs") != F.array_min("_sw_logs")
-    probability = 1 / add(F.transform("_sw_score", lambda x: F.exp(x - F.col("_sw_top"))))
-    language = F.element_at(known, place.cast("int"))
-    old = [f.name for f in kept if not f.name.startswith("_sw_")]
+    tell = F.transform(kinds, lambda k: F.when(F.coalesce(counts, F.lit(False)), F.when(k == said, F.lit(right)).otherwise(F.lit(wrong))).otherwise(F.lit(1.0)))
+    out = out.withColumn("prior", prior).withColumn("score", F.zip_with("logs", F.zip_with("prior", tell, lambda p, t: F.log(p) + F.log(t)), lambda x, y: x + y))
+    place = F.array_position(F.col("score"), F.array_max("score"))
+    text_place = F.array_position(F.col("logs"), F.array_max("logs"))
+    probability = 1 / add(F.transform("score", lambda x: F.exp(x - F.array_max("score"))))
+    language = F.element_at(kinds, place.cast("int"))
     return out.select(
-        *old,
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(old)],
         language.alias("language"),
         probability.alias("probability"),
         ((language != UND) & (probability >= accept)).alias("accepted"),
-        F.when(spoke, F.element_at(known, text_place.cast("int"))).alias("text_language"),
-        F.col("_sw_declared").alias("declared"),
-        F.col("_sw_host").alias("host"),
+        F.when(F.array_max("logs") != F.array_min("logs"), F.element_at(kinds, text_place.cast("int"))).alias("text_language"),
+        F.col("said").alias("declared"),
+        "host",
     )

@@ -49,11 +49,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (declared: ``lang``, host: ``source``) and pages, whose ``doc_id`` is -1 - page_id."""
+    """Documents (nothing declared, as the model learns from ``lang``; host: ``source``) and pages, whose ``doc_id`` is -1 - page_id."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     model = language.train_language(docs)
     said, host = language.page_evidence(F.col("html"), F.col("url"))
-    one = docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", F.col("lang").alias("said"), F.col("source").alias("at"))
+    one = docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", F.lit(None).cast("string").alias("said"), F.col("source").alias("at"))
     two = pages.select((-1 - F.col("page_id")).alias("doc_id"), "page_id", language.page_text(F.col("html")).alias("text"), said.alias("said"), host.alias("at"))
     found = language.identify_language(one.unionByName(two), model, declared=F.col("said"), host=F.col("at"))
     return found.select("doc_id", "page_id", "language", F.round("probability", 6).alias("probability"), "accepted", "text_language", "declared", "host")
