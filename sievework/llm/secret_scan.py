@@ -62,6 +62,8 @@ _PEM = re.compile(
     r"((?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?=(?:\s|\\[nr])*+-----END))?)"
 )
 _AROUND, _NEAR = 256, 48
+#: Up to so many characters the compressor can't code letters by their frequency, so random ones cost a byte each.
+_SHORT, _SHORT_PRICE = 64, 0.9
 
 
 class Novelty:
@@ -94,7 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, per_char: float) -> list[tuple[int, int, int]]:
-    """Candidates that no base span overlaps, in a sensitive context and priced at ``per_char`` bytes or more a character.
+    """Candidates that no base span overlaps, in a sensitive context and priced at ``per_char`` bytes or more a character, short ones at 0.9 or more.
 
     The context is what comes before on the line, up to 48 characters, and the end
     of the last line before that isn't blank, up to 256. Bodies of private keys
@@ -103,7 +105,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, p
     out = []
     if not _SENSITIVE.search(text):
         return out
-    dear = lambda s, e: novelty.price(text, s, e) >= per_char * (e - s)
+    dear = lambda s, e: novelty.price(text, s, e) >= (per_char if e - s > _SHORT else max(per_char, _SHORT_PRICE)) * (e - s)
     if "-----BEGIN " in text:
         out = [(m.start(1), m.end(1), 3) for m in _PEM.finditer(text) if m[1] and dear(*m.span(1))]
     taken, at = sorted(base + out), 0
