@@ -125,34 +125,39 @@ _NOTICES = {"BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-L
 KNOWN = {k: list(dict.fromkeys([*KNOWN.get(k, []), *_titled(TITLES.get(k, []), FULL.get(k, [])), *_NOTICES.get(k, [])])) for k in sorted({*KNOWN, *FULL, *_NOTICES})}
 
 
-def canonical_line(line: Column) -> Column:
-    """One line in canonical form; empty for copyright lines and lines without letters or digits."""
-    plain = F.trim(F.regexp_replace(F.lower(line), _KEPT, " "))
-    united = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
-    return F.when(plain.rlike(COPYRIGHT), F.lit("")).otherwise(united)
+def canonical_lines(text: Column) -> Column:
+    """A text's lines in canonical form; empty for copyright lines and lines without letters or digits."""
+    plain = F.transform(F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(F.lower(line), _KEPT, " ")))
+    united = lambda line: reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, line)
+    return F.transform(plain, lambda line: F.when(line.rlike(COPYRIGHT), F.lit("")).otherwise(united(line)))
 
 
 def known_licenses(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
     """(license_id, digest) of the given texts; one licence per digest, the first by name."""
     rows = [(k, t) for k, texts in known.items() for t in texts]
-    lines = F.filter(F.transform(F.split("text", "\n"), canonical_line), lambda x: x != "")
+    lines = F.filter(canonical_lines(F.col("text")), lambda x: x != "")
     df = spark.createDataFrame(rows, "license_id string, text string").select("license_id", F.sha2(F.array_join(lines, " "), 256).alias("digest"))
     return df.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def find_licenses(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_licenses(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 20_000) -> DataFrame:
     """One row for each part of a document whose canonical form is a known text.
 
     Columns: ``doc_id``, ``part`` (0: the whole document; n: its n-th line, from 1;
     a document of one line only as a whole), ``license_id``, ``digest``. Null and
     empty texts give no rows; rows with a null id are looked up all the same;
     repeated rows are reported each. ``known`` is (license_id, digest), one row
-    for each digest. Spark broadcasts it or shuffles by its own size check.
+    for each digest; up to ``broadcast_rows`` of them are broadcast, beyond that the
+    digests of all parts are shuffled to them.
     """
-    lines = df.select(F.col(doc_id).alias("doc_id"), F.transform(F.split(F.col(text), "\n"), canonical_line).alias("lines"))
+    lines = df.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
     used = F.filter("lines", lambda x: x != "")
     whole = F.struct(F.lit(0).alias("part"), F.sha2(F.array_join(used, " "), 256).alias("digest"))
     each = F.transform("lines", lambda x, i: F.struct((i + 1).alias("part"), F.when(x != "", F.sha2(x, 256)).alias("digest")))
-    parts = F.when(F.size(used) > 1, F.concat(F.array(whole), F.filter(each, lambda x: x["digest"].isNotNull()))).otherwise(F.array(whole))
-    rows = lines.where(F.size(used) > 0).select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.part", "p.digest")
-    return rows.join(known.select("license_id", "digest"), "digest").select("doc_id", "part", "license_id", "digest")
+    parts = F.when(F.size(used) > 1, F.concat(F.array(whole), F.filter(each, lambda x: x["digest"].isNotNull()))).when(F.size(used) == 1, F.array(whole))
+    # An outer explode, as Spark would work the lines out once more to filter texts without a part.
+    rows = lines.select("doc_id", F.explode_outer(parts).alias("p")).where("p is not null").select("doc_id", "p.part", "p.digest")
+    known = known.select("license_id", "digest")
+    if known.count() <= broadcast_rows:
+        known = F.broadcast(known)
+    return rows.join(known, "digest").select("doc_id", "part", "license_id", "digest")
