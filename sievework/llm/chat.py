@@ -124,8 +124,6 @@ def conversation_nodes(df: DataFrame, conv: str = "conv_id", turn: str = "turn")
     each answers the one before. Rows with a null conversation id form one tree.
     The nodes are written once, as their numbers must be the same in every use.
     """
-    rows = df.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), "role", "text")
-    numbered = cut(rows.withColumn("pos", F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))).withColumn("node", F.monotonically_increasing_id()))
-    before = F.lag("node").over(Window.partitionBy("tree").orderBy("pos"))
-    links = numbered.select("tree", "pos", "node").withColumn("parent", before).select(F.col("node").alias("_sw_node"), "parent")
-    return numbered.join(links, F.col("node") == F.col("_sw_node")).select("tree", "node", "parent", F.lit(0.0).alias("score"), "role", "text")
+    rows = df.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), "role", "text").withColumn("node", F.monotonically_increasing_id())
+    before = F.lag("node").over(Window.partitionBy("tree").orderBy("turn", "role", "text", "node"))
+    return cut(rows.select("tree", "node", before.alias("parent"), F.lit(0.0).alias("score"), "role", "text"))
