@@ -1,11 +1,12 @@
 """Exact top-k by inner product with MaxScore over shards.
 
 Each vector dimension is a query term; a shard (an Arrow batch) holds a term's
-postings as one column of integer weights. A term's score bound is the most that
-the shard can add through it. The terms with the smallest bounds, which together
-can't lift a vector over the query's current k-th score, are non-essential: only
-the postings of the others are traversed, for all vectors of the shard, and the
-non-essential terms are probed, the largest bound first, for vectors that remain
+postings as one row of integer weights. A term's score bound is the most that the
+shard can add through it for a query. In the shard's order of terms, by ascending
+bound over all queries, the first ones whose bounds together stay below a query's
+current k-th score are its non-essential terms. Queries with the same number of them
+traverse the postings of the other terms together and no others; the non-essential
+terms are probed, the largest bounds first, only for vectors that remain
 competitive. The shards' lists are merged by a ranked window.
 """
 
@@ -15,11 +16,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import cut as written
 from ._common import ready
 
 #: Queries that one pass over the candidates serves; with 64 components 2 MB are sent.
 QUERY_BLOCK = 4096
-_SHARD, _PROBES = 4096, 3
+_SHARD = 4096
+#: Numbers of non-essential terms are multiples of this, so that many queries share one; so many terms are probed at once.
+_STEP, _PROBED = 4, 16
 #: Below this, sums of products are exact in doubles.
 _EXACT = 1 << 53
 
@@ -48,43 +52,39 @@ class _Best:
 
 
 def search_shard(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-    """Let one shard's vectors compete. All arrays hold integers."""
+    """Let one shard's vectors compete. All arrays hold integers; inner products that may leave 64 bits are refused."""
     low, high = vectors.min(axis=0), vectors.max(axis=0)
-    reach = float(np.abs(queries).max(initial=0)) * float(max(-low.min(initial=0), high.max(initial=0))) * queries.shape[1]
+    reach = float(np.abs(queries.astype(np.float64)).max(initial=0)) * max(-float(low.min(initial=0)), float(high.max(initial=0))) * queries.shape[1]
+    if reach >= 2.0**62:
+        raise OverflowError("components are so large that inner products may not fit 64 bits")
     kind = np.float64 if reach < _EXACT else np.int64
-    queries, vectors = queries.astype(kind), vectors.astype(kind)
-    bounds = np.maximum(queries * low.astype(kind), queries * high.astype(kind)).astype(np.float64)
-    order = np.argsort(bounds, axis=1)
-    rows = np.arange(len(queries))[:, None]
-    # The bounds may be negative: such terms are non-essential too, as they can only lower a score.
-    gathered = np.cumsum(bounds[rows, order], axis=1)
-    total = gathered[:, -1]
-    spare = np.where(np.isfinite(best.bar), np.maximum(best.bar, 0) / 2, -np.inf)
-    cut = (gathered < spare[:, None]).sum(axis=1)  # so many terms, by ascending bound, are non-essential
-    rest = np.where(cut > 0, gathered[np.arange(len(queries)), np.maximum(cut - 1, 0)], 0.0)
-    essential = queries.copy()
-    essential[np.argsort(order, axis=1) < cut[:, None]] = 0
-    live = np.flatnonzero(total >= best.bar)  # else no vector of the shard can enter
-    for at in range(0, len(live), 256):
-        block = live[at : at + 256]
-        partial = essential[block] @ vectors.T
-        fits = partial + rest[block, None] >= best.bar[block, None]
-        fits &= ids[None, :] != query_ids[block, None]
-        for n, q in enumerate(block):
-            left = np.flatnonzero(fits[n])
-            if not len(left):
-                continue
-            score, bound = partial[n, left], rest[q]
-            terms = order[q, : cut[q]][::-1]
-            for probe in np.array_split(terms, _PROBES):
-                if not len(probe) or not len(left):
-                    continue
-                score = score + vectors[np.ix_(left, probe)] @ queries[q, probe]
-                bound -= bounds[q, probe].sum()
-                keep = score + max(bound, bound + 1e-6 * abs(bound)) + 1e-3 >= best.bar[q]
-                left, score = left[keep], score[keep]
-            if len(left):
-                best.add(q, score.astype(np.int64), ids[left])
+    bounds = np.maximum(queries * low, queries * high).astype(np.float64)
+    order = np.argsort(bounds.sum(axis=0), kind="stable")
+    bounds, queries = bounds[:, order], queries[:, order].astype(kind)
+    postings = np.ascontiguousarray(vectors[:, order].T, dtype=kind)  # a row for each term
+    # What the first terms add at most; a term that can only lower scores counts as 0 for the split.
+    slack = 1e-12 * np.cumsum(np.abs(bounds), axis=1)  # for the rounding of large integers
+    before = np.concatenate([np.zeros((len(queries), 1)), np.cumsum(bounds, axis=1) + slack], axis=1)
+    split = np.cumsum(np.maximum(bounds, 0), axis=1)
+    cut = (split < best.bar[:, None]).sum(axis=1) // _STEP * _STEP
+    live = before[:, -1] >= best.bar  # else no vector of the shard can enter
+    for essential in np.unique(cut[live]):
+        same = np.flatnonzero(live & (cut == essential))
+        for block in np.array_split(same, -(-len(same) // 256)):
+            rest = before[block, essential]
+            partial = queries[block, essential:] @ postings[essential:]
+            fits = partial + rest[:, None] >= best.bar[block, None]
+            fits &= ids[None, :] != query_ids[block, None]
+            for n, q in enumerate(block):
+                left = np.flatnonzero(fits[n])
+                score, to = partial[n, left], int(essential)
+                while to and len(left):
+                    at = max(0, to - _PROBED)
+                    score = score + queries[q, at:to] @ postings[at:to, left]
+                    keep = score + before[q, at] >= best.bar[q]
+                    left, score, to = left[keep], score[keep], at
+                if len(left):
+                    best.add(q, score.astype(np.int64), ids[left])
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -104,7 +104,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = Q
     compete each. Vectors of unequal length are filled up with zeros.
 
     Queries are read in blocks of ``block`` by ascending id, so what the driver
-    holds and sends doesn't grow with the data; each block passes over all rows.
+    holds and sends doesn't grow with the data; each block passes over all rows. Where
+    there are several, the sorted queries and each block's result are written to the
+    shared folder and the block's copy on the executors is released. Components so large
+    that an inner product may leave 64 bits raise an error.
     """
     import pyarrow as pa
 
@@ -139,20 +142,22 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = Q
 
         return run
 
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    ranked = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
     out, after = None, None
-    while True:
-        more = asked if after is None else asked.where(F.col("id") > after)
-        part = more.orderBy("id").limit(block).collect()
-        if not part:
-            break
+    part = asked.orderBy("id").limit(block + 1).collect()
+    several = len(part) > block
+    if several:
+        asked = written(asked.orderBy("id"))
+    while part:
+        part = part[:block]
         after = part[-1]["id"]
         width = max(len(r["vector"]) for r in part)
         sent = spark.sparkContext.broadcast((np.array([r["id"] for r in part], dtype=np.int64), _matrix([r["vector"] for r in part], width)))
-        found = rows.mapInArrow(passed(sent), schema)
+        found = ranked(rows.mapInArrow(passed(sent), schema))
+        if several:
+            found = written(found)
+            sent.destroy()
         out = found if out is None else out.unionAll(found)
-        if len(part) < block:
-            break
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        part = asked.where(F.col("id") > after).orderBy("id").limit(block).collect() if several else []
+    return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint") if out is None else out
