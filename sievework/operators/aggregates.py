@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal, localcontext
+from fractions import Fraction
+from math import comb, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: For the sign test: pairs up to which it is in whole numbers, digits and bits beyond, Stirling's terms a / (b n^k).
+_WHOLE, _DIGITS, _BITS = 1000, 60, 128
+_STIRLING = ((1, 12, 1), (-1, 360, 3), (1, 1260, 5), (-1, 1680, 7), (1, 1188, 9), (-691, 360360, 11))
+_PI = Decimal("3.14159265358979323846264338327950288419716939937510582097494459")
+
 
 def counts_over(df: DataFrame, column: str, keys: Iterable, out: str = "n") -> DataFrame:
     """Row counts of the listed keys, 0 where a key doesn't occur, in the list's order as ``ordinal``."""
@@ -129,14 +137,36 @@ def sign_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _ln_factorial(n: int) -> Decimal:
+    """ln n!, from 1000 on by Stirling's series, of which the first term left out is below 1e-41."""
+    if n < 1000:
+        return Decimal(factorial(n)).ln()
+    x = Decimal(n)
+    series = sum(Decimal(a) / (b * x**k) for a, b, k in _STIRLING)
+    return x * x.ln() - x + (2 * _PI * x).ln() / 2 + series
+
+
 def sign_test(wins: int, losses: int) -> float:
-    """Two-sided exact binomial test of equal chances, in whole numbers up to the last division."""
-    from fractions import Fraction
-    from math import comb
+    """Two-sided exact binomial test of equal chances.
 
-    n = wins + losses
-    tail = sum(comb(n, k) for k in range(min(wins, losses) + 1))
-    return float(min(Fraction(1), Fraction(2 * tail, 2**n))) if n else 1.0
+    Up to ``_WHOLE`` pairs without ties it's in whole numbers up to the last division.
+    Beyond, where these have a bit a pair and a term a loss, the tail is its greatest
+    term, by logarithms of ``_DIGITS`` digits, times the sum of the terms' ratios to it,
+    of which some 7 times the root of the pairs are more than 0 in ``_BITS`` bits.
+    """
+    n, k = wins + losses, min(wins, losses)
+    if 2 * k + 1 >= n:
+        return 1.0
+    if n <= _WHOLE:
+        return float(Fraction(2 * sum(comb(n, i) for i in range(k + 1)), 2**n))
+    with localcontext() as context:
+        context.prec = _DIGITS
+        greatest = (_ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k) - n * Decimal(2).ln()).exp()
+        total, ratio = 0, 1 << _BITS
+        while ratio:
+            total += ratio
+            ratio, k = ratio * k // (n - k + 1), k - 1
+        return float(2 * greatest * total / (1 << _BITS))
 
 
 def bootstrap_interval(pairs: DataFrame, group: list[str], order: list[str], resamples: int = 10_000, seed: int = 0) -> DataFrame:

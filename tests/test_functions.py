@@ -1,6 +1,7 @@
 """Expressions and small operators on hand-made rows."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,21 @@ def test_sign_test_and_bootstrap(spark):
     assert row["n"] == 60 and row["low"] < 1.0 < row["high"]
 
 
+def test_sign_test_of_many_pairs():
+    def whole(wins, losses):
+        n = wins + losses
+        term = tail = 1
+        for k in range(min(wins, losses)):
+            term = term * (n - k) // (k + 1)
+            tail += term
+        return float(min(Fraction(1), Fraction(2 * tail, 2**n)))
+
+    for wins, losses in [(501, 500), (499, 501), (502, 500), (900, 102), (1001, 1), (1002, 0), (2600, 2400), (10300, 9700), (1, 19_999)]:
+        assert math.isclose(aggregates.sign_test(wins, losses), whole(wins, losses), rel_tol=1e-15)
+    # So many that term by term no test ends: against the normal distribution, which is off by about 1 / n.
+    assert math.isclose(aggregates.sign_test(4_503_000, 4_497_000), math.erfc(5999 / math.sqrt(18e6)), rel_tol=1e-6)
+
+
 def test_merged_parts_refuse_repeats(spark):
     part = spark.createDataFrame([(1, "a"), (2, "b")], "k int, p string")
     assert sets.merged_parts([part.where("k = 1"), part.where("k = 2")], "k", "p", {"a": 1}).count() == 2
