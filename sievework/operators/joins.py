@@ -174,14 +174,15 @@ def appended_to_previous(df: DataFrame, group: list[str], order: list[str], is_f
     """Fragment rows are appended, cell by cell, to the row before them and dropped.
 
     Several fragments in a row all go to the last row that is none. A group that
-    begins with a fragment keeps it as a row.
+    begins with a fragment keeps it as a row. A cell is null where none of its parts
+    has a value.
     """
     w = Window.partitionBy(*group).orderBy(*order)
     marked = df.withColumn("_frag", F.coalesce(is_fragment, F.lit(False)) & (F.row_number().over(w) > 1)).withColumn("_pos", F.row_number().over(w))
-    block = marked.withColumn("_block", F.sum(F.when(F.col("_frag"), 0).otherwise(1)).over(w))
+    block = marked.withColumn("_block", F.sum(F.when(F.col("_frag"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rest = [c for c in df.columns if c not in columns and c not in group]
     cells = lambda c: F.array_sort(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("_pos", F.col(c).alias("v")))))
-    parts = block.groupBy(*group, "_block").agg(*[F.min_by(c, "_pos").alias(c) for c in rest], *[F.array_join(F.transform(cells(c), lambda x: x["v"]), " ").alias(c) for c in columns])
+    parts = block.groupBy(*group, "_block").agg(*[F.min_by(c, "_pos").alias(c) for c in rest], *[F.when(F.count(c) > 0, F.array_join(F.transform(cells(c), lambda x: x["v"]), " ")).alias(c) for c in columns])
     return parts.select(*df.columns)
 
 

@@ -91,7 +91,9 @@ def subset_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragments_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(windows.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")).alias("pos"), F.col("l_linestatus").alias("status"), F.col("l_partkey").cast("string").alias("cell"))
+    """Lines in the order of the SQL, in which nulls are last; of lines that it leaves equal only the status matters, so it decides."""
+    order = [F.col(c).asc_nulls_last() for c in ("l_linenumber", "l_partkey", "l_quantity", "l_linestatus")]
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(windows.Window.partitionBy("l_orderkey").orderBy(*order)).alias("pos"), F.col("l_linestatus").alias("status"), F.col("l_partkey").cast("string").alias("cell"))
     return joins.appended_to_previous(rows, ["l_orderkey"], ["pos"], F.col("status") == "F", ["cell"]).select("l_orderkey", "pos", "cell")
 
 
